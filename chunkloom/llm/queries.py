@@ -1,6 +1,7 @@
 """The queries of this subpackage and their DuckDB equivalents, by name."""
 
 from .bpe import op9_byte_bpe
+from .simhash import op4_simhash
 
-QUERIES: dict = {"op9_byte_bpe": op9_byte_bpe}
+QUERIES: dict = {f.__name__: f for f in (op4_simhash, op9_byte_bpe)}
 ORACLES: dict = {}
