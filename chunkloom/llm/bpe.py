@@ -7,8 +7,9 @@ decoding looks the bytes of every id up and joins them. A character may be split
 texts decode to whole characters, and `StreamDecoder` holds back the bytes of an unfinished one.
 
 Merges never cross the matches of the pre-token pattern, and a match stands for the same ids
-wherever it occurs. So a task splits texts with the pattern, gives the library only matches that it
-has not met before, and puts the ids of a text together with array operations.
+wherever it occurs. So a task finds the matches of all texts of a batch with array operations (with the
+pattern itself where a text has more than Latin letters), gives the library only matches that it has
+not met before, and puts the ids of the texts together.
 """
 
 from __future__ import annotations
@@ -28,13 +29,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_rows, ragged, slices, small_batches, text_bytes
+from .common import binary_rows, ragged, slices, small_batches, span_hashes, text_bytes
 
 #: Characters outside these ranges may be classed differently by the libraries' Unicode versions;
 #: texts that hold one go whole to the tokenizers library, which splits them itself.
 UNSURE = "[^\\x00-\u0557\u2000-\u206f\u20a0-\u20bf\u3040-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f64f]"
 #: Pre-tokens a worker remembers; beyond it starts anew. Bounds its memory, never the result.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
 
 
 def byte_table() -> dict[int, str]:
@@ -95,24 +96,113 @@ def token_bytes(definition: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(each), np.uint8), starts
 
 
-class Numbered(dict):
-    """Numbers keys in the order in which they are first looked up; `new` lists those since the last call of taken()."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
-
-    def taken(self) -> list[str]:
-        new, self.new = self.new, []
-        return new
+class Places:
+    """A hash table of 64-bit keys, numbered in the order in which they were added."""
+
+    def __init__(self, bits: int = 16):
+        self.size, self.room = 0, 1 << bits
+        self.keys, self.numbers = np.zeros(self.room, np.uint64), np.zeros(self.room, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 if it was never added. Key 0 is not allowed."""
+        out = np.full(len(keys), -1, np.int64)
+        at = (keys & np.uint64(self.room - 1)).astype(np.int64)
+        open_ = np.arange(len(keys))
+        while len(open_):
+            there = self.keys[at]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.numbers[at[hit]]
+            on = ~hit & (there != 0)
+            open_, at = open_[on], (at[on] + 1) & (self.room - 1)
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Add keys that are all different and not there yet."""
+        if 2 * (self.size + len(keys)) > self.room:
+            old = self.keys != 0
+            old_keys, old_numbers = self.keys[old], self.numbers[old]
+            while 2 * (self.size + len(keys)) > self.room:
+                self.room *= 2
+            self.keys, self.numbers = np.zeros(self.room, np.uint64), np.zeros(self.room, np.int32)
+            self._put(old_keys, old_numbers)
+        self._put(keys, np.arange(self.size, self.size + len(keys), dtype=np.int32))
+        self.size += len(keys)
+
+    def _put(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        at = (keys & np.uint64(self.room - 1)).astype(np.int64)
+        while len(keys):
+            free = self.keys[at] == 0
+            _, first = np.unique(at[free], return_index=True)
+            mine = np.flatnonzero(free)[first]
+            self.keys[at[mine]], self.numbers[at[mine]] = keys[mine], numbers[mine]
+            rest = np.ones(len(keys), bool)
+            rest[mine] = False
+            keys, numbers, at = keys[rest], numbers[rest], (at[rest] + 1) & (self.room - 1)
+
+
+LETTER, DIGIT, BLANK, OTHER = range(4)
+_CLASS = np.full(256, OTHER, np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = LETTER
+_CLASS[[*range(48, 58)]] = DIGIT
+_CLASS[[0x20, *range(0x09, 0x0E)]] = BLANK
+#: Bytes of characters that need the pattern itself: neither ASCII nor from U+00C0 to U+023F.
+_FAR = np.zeros(256, bool)
+_FAR[[0xC2, *range(0xC9, 0x100)]] = True
+#: How many letters after an apostrophe go with it, by the letters.
+_SHORT = {b"s": 1, b"t": 1, b"m": 1, b"d": 1, b"re": 2, b"ve": 2, b"ll": 2}
+
+
+def near_latin(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows that hold only ASCII and the letters from U+00C0 to U+023F; the signs for times and divided by are no letters."""
+    far = _FAR[raw]
+    signs = np.flatnonzero(raw[:-1] == 0xC3)
+    far[signs[np.isin(raw[signs + 1], (0x97, 0xB7))]] = True
+    before = np.concatenate([[0], np.cumsum(far)])
+    return before[offsets[1:]] == before[offsets[:-1]]
+
+
+def pretoken_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where each match of the byte-level pattern starts, for rows that are near_latin.
+
+    A match is a run of letters, digits or other signs, with one space before it if there is one; of other
+    blanks a run, without its last character if something follows; an apostrophe that nothing goes
+    before takes one of the short endings with it.
+    """
+    n = len(raw)
+    kind = _CLASS[raw]
+    edge = np.ones(n, bool)
+    edge[1:] = kind[1:] != kind[:-1]
+    rows = offsets[:-1][offsets[:-1] < n]
+    edge[rows] = True
+    head = np.zeros(n + 1, bool)  # first byte of a row; the end counts as one
+    head[rows] = True
+    head[n] = True
+    starts = np.flatnonzero(edge)
+    stops = np.append(starts[1:], n)
+    kinds = kind[starts]
+    flag = edge.copy()
+    inner = np.flatnonzero((kinds == BLANK) & ~head[stops])  # blanks that something follows
+    last = stops[inner] - 1
+    flag[last] = True
+    spaced = inner[raw[last] == 0x20]
+    flag[stops[spaced]] = False
+    quote = np.flatnonzero((raw[starts] == 0x27) & (stops - starts == 1) & (kinds == OTHER) & ~head[stops] & flag[starts])
+    quote = quote[kinds[np.minimum(quote + 1, len(kinds) - 1)] == LETTER]
+    for k in quote.tolist():
+        a, b = int(stops[k]), int(stops[k + 1])
+        two = raw[a : min(a + 2, b)].tobytes()
+        if size := _SHORT.get(two[:1], 0) or _SHORT.get(two, 0):
+            flag[a] = False
+            if a + size < b:
+                flag[a + size] = True
+    return np.flatnonzero(flag)
 
 
 class Coder:
-    """Encodes texts by their pre-tokens; `direct` matches the texts that go whole to the library."""
+    """Encodes whole texts by their pre-tokens, each of which goes to the library when it is first met.
+
+    Pre-tokens are known again by a 64-bit hash of their bytes.
+    """
 
     def __init__(self, definition: str, pattern: str, direct: str = UNSURE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
@@ -121,25 +211,24 @@ class Coder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
-        self.characters = {b: c for b, c in byte_table().items()}
+        self.characters = byte_table()
         self.split = regex.compile(pattern).findall
         self.direct = re.compile(direct).search
         self.forget()
 
     def forget(self) -> None:
-        self.known = Numbered()
+        self.known = Places()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def learn(self) -> None:
-        """Ids of the pre-tokens that were met for the first time."""
-        first, merge, table = len(self.known) - len(self.known.new), self.merge, self.characters
-        found = [[t.id for t in merge(x.encode().decode("latin-1").translate(table))] for x in self.known.taken()]
-        if not found:
-            return
+    def learn(self, pieces: list[bytes], keys: np.ndarray) -> None:
+        """Ids of pre-tokens that were met for the first time."""
+        merge, table = self.merge, self.characters
+        found = [[t.id for t in merge(x.decode("latin-1").translate(table))] for x in pieces]
         flat = np.fromiter(chain.from_iterable(found), np.uint32)
-        last = first + len(found)
+        first, last = self.known.size, self.known.size + len(found)
+        self.known.add(keys)
         if last >= len(self.starts):
             self.starts = np.resize(self.starts, 2 * last)
         if self.used + len(flat) > len(self.ids):
@@ -148,24 +237,47 @@ class Coder:
         self.starts[first : last + 1] = self.used + np.cumsum([0, *map(len, found)])
         self.used += len(flat)
 
-    def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, text after text, and the ids of each text."""
-        pieces: list[str] = []
-        runs, whole = [0], {}
-        for k, text in enumerate(texts):
-            if text and not text.isascii() and self.direct(text):
-                whole[k] = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            elif text:
-                pieces += self.split(text)
-            runs.append(len(pieces))
-        if len(self.known) > REMEMBERED:
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, text after text, and the ids of each text; texts: a list or an Arrow array."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        raw, offsets = text_bytes(texts)
+        simple = near_latin(raw, offsets)
+        whole: dict[int, np.ndarray] = {}
+        if simple.all():
+            starts = pretoken_starts(raw, offsets)
+        else:
+            flag = np.zeros(len(raw) + 1, bool)
+            easy = np.flatnonzero(simple)
+            sizes = np.diff(offsets)
+            to = ragged(offsets[easy], sizes[easy])
+            flag[to[pretoken_starts(raw[to], np.concatenate([[0], np.cumsum(sizes[easy])]))]] = True
+            for k in np.flatnonzero(~simple).tolist():
+                text = raw[offsets[k] : offsets[k + 1]].tobytes().decode()
+                if self.direct(text):
+                    whole[k] = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                    flag[offsets[k]] = True  # a stand-in; its ids are replaced below
+                else:
+                    flag[offsets[k] + np.cumsum([0, *(len(x.encode()) for x in self.split(text))])[:-1]] = True
+            starts = np.flatnonzero(flag)
+        stops = np.append(starts[1:], len(raw)) if len(starts) else starts
+        edges = np.searchsorted(starts, offsets)
+        for k in whole:  # not to be learnt as one pre-token
+            stops[edges[k]] = starts[edges[k]]
+        keys = np.maximum(span_hashes(raw, starts, stops), np.uint64(1))
+        if self.known.size > REMEMBERED:
             self.forget()
-        which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        self.learn()
-        starts = self.starts[which]
-        lengths = self.starts[which + 1] - starts
-        flat = self.ids[ragged(starts, lengths)]
-        edges = np.concatenate([[0], np.cumsum(lengths)])[runs]
+        which = self.known.find(keys)
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            unique, first = np.unique(keys[new], return_index=True)
+            data = raw.tobytes()
+            first = new[first]
+            self.learn([data[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist())], unique)
+            which[new] = self.known.find(keys[new])
+        begin = self.starts[which]
+        lengths = self.starts[which + 1] - begin
+        flat = self.ids[ragged(begin, lengths)]
+        edges = np.concatenate([[0], np.cumsum(lengths)])[edges]
         counts = np.diff(edges)
         if whole:
             flat = np.concatenate([whole.get(k, flat[edges[k] : edges[k + 1]]) for k in range(len(counts))])
@@ -229,7 +341,7 @@ def round_trip(df: DataFrame, definition: str, pattern: str, *, key: str = "doc_
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, decoder = coder_of(definition, pattern), Decoder(definition)
         for part in slices(batches):
-            ids, counts = coder.encode(part.column(1).to_pylist())
+            ids, counts = coder.encode(part.column(1))
             out = [part.column(0), pa.array(counts, pa.int64()), binary_rows(ids, counts)]
             if decoded:
                 ends = np.concatenate([[0], np.cumsum(decoder.lengths(ids))])[np.concatenate([[0], np.cumsum(counts)])]
