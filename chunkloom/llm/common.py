@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are taken from an Arrow batch in slices of about so many bytes, whatever its rows hold.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: What separates words, as a class for regular expressions.
 SPACE = r"\x20\x09-\x0D"
 
@@ -177,3 +177,10 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * powers(_BASE, len(words)), out=sums[1:])
     return mix64((sums[n:] - sums[:-n]) * powers(_BASE_INVERSE, count))
+
+
+def run_hashes(words: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of the words from start to stop, for spans of any lengths."""
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers(_BASE, len(words)), out=sums[1:])
+    return mix64((sums[stops] - sums[starts]) * powers(_BASE_INVERSE, len(words) + 1)[starts])
