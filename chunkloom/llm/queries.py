@@ -2,6 +2,8 @@
 
 from .bpe import op9_byte_bpe
 from .simhash import op4_simhash
+from .substrings import op10_substrings
+from .token_files import op5_token_files
 
-QUERIES: dict = {f.__name__: f for f in (op4_simhash, op9_byte_bpe)}
+QUERIES: dict = {f.__name__: f for f in (op4_simhash, op5_token_files, op9_byte_bpe, op10_substrings)}
 ORACLES: dict = {}
