@@ -1,12 +1,13 @@
 """The queries of this subpackage and their DuckDB equivalents, by name."""
 
-from . import quality
+from . import quality, secrets
 from .bpe import op9_byte_bpe
 from .lines import op8_lines
 from .quality import op3_quality
+from .secrets import op6_secrets
 from .simhash import op4_simhash
 from .substrings import op10_substrings
 from .token_files import op5_token_files
 
-QUERIES: dict = {f.__name__: f for f in (op3_quality, op4_simhash, op5_token_files, op8_lines, op9_byte_bpe, op10_substrings)}
-ORACLES: dict = {"op3_quality": quality.ORACLE}
+QUERIES: dict = {f.__name__: f for f in (op3_quality, op4_simhash, op5_token_files, op6_secrets, op8_lines, op9_byte_bpe, op10_substrings)}
+ORACLES: dict = {"op3_quality": quality.ORACLE, "op6_secrets": secrets.ORACLE}
