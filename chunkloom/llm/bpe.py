@@ -35,7 +35,7 @@ from .common import binary_rows, ragged, slices, small_batches, span_hashes, tex
 #: texts that hold one go whole to the tokenizers library, which splits them itself.
 UNSURE = "[^\\x00-\u0557\u2000-\u206f\u20a0-\u20bf\u3040-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f64f]"
 #: Pre-tokens a worker remembers; beyond it starts anew. Bounds its memory, never the result.
-REMEMBERED = 600_000
+REMEMBERED = 1_300_000
 
 
 def byte_table() -> dict[int, str]:
@@ -118,10 +118,10 @@ class Places:
 
     def add(self, keys: np.ndarray) -> None:
         """Add keys that are all different and not there yet."""
-        if 2 * (self.size + len(keys)) > self.room:
+        if 3 * (self.size + len(keys)) > 2 * self.room:
             old = self.keys != 0
             old_keys, old_numbers = self.keys[old], self.numbers[old]
-            while 2 * (self.size + len(keys)) > self.room:
+            while 3 * (self.size + len(keys)) > 2 * self.room:
                 self.room *= 2
             self.keys, self.numbers = np.zeros(self.room, np.uint64), np.zeros(self.room, np.int32)
             self._put(old_keys, old_numbers)
