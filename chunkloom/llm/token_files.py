@@ -147,7 +147,7 @@ def write_tokens(df: DataFrame, path: str, definition: str, pattern: str, end: i
     A null or empty text has the end id alone. Null keys come first; rows with equal keys follow each
     other in the order of their ids. Only key and text are read, so other columns' names don't matter. An empty table
     gives empty tables. Ids are made once and kept in the shared folder; what is shuffled into key
-    order is already Huffman-coded.
+    order is already Huffman-coded; it is dealt to shards by quantiles of the key.
     """
     spark = df.sparkSession
     coded, small = _coded_ids(df, definition, pattern, end, key, text)
@@ -205,7 +205,11 @@ def write_tokens(df: DataFrame, path: str, definition: str, pattern: str, end: i
 
     totals = ids.df.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-totals // SHARD))
-    sorted_ = ids.df.mapInArrow(compress, f"key {kind}, n long, marks binary, data binary").repartitionByRange(parts, "key").sortWithinPartitions("key", "data")
+    bounds = [] if parts < 2 else ids.df.agg(F.percentile_approx("key", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []
+    shard = F.lit(0)  # of a null key, too
+    if bounds:
+        shard = F.coalesce(F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda x: x < F.col("key"))), F.lit(0))
+    sorted_ = ids.df.mapInArrow(compress, f"key {kind}, n long, marks binary, data binary").repartitionById(parts, shard).sortWithinPartitions("key", "data")
     blocks = sorted_.mapInArrow(block, f"shard int, block int, first long, keys array<{kind}>, n_ids array<long>, sizes array<long>, marks binary, data binary")
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
     ids.drop()
