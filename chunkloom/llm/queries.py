@@ -9,6 +9,7 @@ from .secrets import op6_secrets
 from .simhash import op4_simhash
 from .substrings import op10_substrings
 from .token_files import op5_token_files
+from .toxicity import op2_toxicity
 
-QUERIES: dict = {f.__name__: f for f in (op1_mixing, op3_quality, op4_simhash, op5_token_files, op6_secrets, op8_lines, op9_byte_bpe, op10_substrings)}
+QUERIES: dict = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_quality, op4_simhash, op5_token_files, op6_secrets, op8_lines, op9_byte_bpe, op10_substrings)}
 ORACLES: dict = {"op3_quality": quality.ORACLE, "op6_secrets": secrets.ORACLE}
