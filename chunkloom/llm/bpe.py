@@ -35,7 +35,7 @@ from .common import binary_rows, ragged, slices, small_batches, span_hashes, tex
 #: texts that hold one go whole to the tokenizers library, which splits them itself.
 UNSURE = "[^\\x00-\u0557\u2000-\u206f\u20a0-\u20bf\u3040-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f64f]"
 #: Pre-tokens a worker remembers; beyond it starts anew. Bounds its memory, never the result.
-REMEMBERED = 1_300_000
+REMEMBERED = 2_000_000
 
 
 def byte_table() -> dict[int, str]:
@@ -218,15 +218,15 @@ class Coder:
 
     def forget(self) -> None:
         self.known = Places()
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)
+        self.ids = np.zeros(1 << 16, np.uint16 if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else np.uint32)
+        self.starts = np.zeros(1 << 14, np.uint32)
         self.used = 0
 
     def learn(self, pieces: list[bytes], keys: np.ndarray) -> None:
         """Ids of pre-tokens that were met for the first time."""
         merge, table = self.merge, self.characters
         found = [[t.id for t in merge(x.decode("latin-1").translate(table))] for x in pieces]
-        flat = np.fromiter(chain.from_iterable(found), np.uint32)
+        flat = np.fromiter(chain.from_iterable(found), self.ids.dtype)
         first, last = self.known.size, self.known.size + len(found)
         self.known.add(keys)
         if last >= len(self.starts):
@@ -274,9 +274,9 @@ class Coder:
             first = new[first]
             self.learn([data[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist())], unique)
             which[new] = self.known.find(keys[new])
-        begin = self.starts[which]
+        begin = self.starts[which].astype(np.int64)
         lengths = self.starts[which + 1] - begin
-        flat = self.ids[ragged(begin, lengths)]
+        flat = self.ids[ragged(begin, lengths)].astype(np.uint32)
         edges = np.concatenate([[0], np.cumsum(lengths)])[edges]
         counts = np.diff(edges)
         if whole:

@@ -29,10 +29,9 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Rows of an Arrow batch may hold very long texts, so batches are kept to few rows."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Rows of an Arrow batch may hold very long texts, so batches are kept to about 8 MB, however many rows that is."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 class Table:

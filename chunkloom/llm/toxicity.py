@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -146,7 +147,7 @@ def _features(texts: Iterator[str]) -> Iterator[tuple[int, list[str]]]:
     """Of each text a hash that near copies mostly share, and its words and word beginnings; x2 and x3: if it has two or three of them."""
     for text in texts:
         words = _WORD.findall((text or "").lower())
-        near = min(hash(tuple(words[i : i + 5])) for i in range(max(1, len(words) - 4)))
+        near = min(zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4)))
         found: Counter[str] = Counter()
         for word, n in Counter(words).items():
             if len(word) > 2:
