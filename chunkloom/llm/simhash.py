@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table, fresh, slices, small_batches, text_bytes, word_spans
+from .common import Table, fresh, ragged, slices, small_batches, text_bytes, word_spans
 from .graph import components
 
 #: Distinct fingerprints in a shard beyond which it is cut anew, and how often that is done.
-SHARD, LEVELS = 1000, 4
+SHARD, LEVELS = 2000, 4
 
 # The five primes of XXH64.
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
@@ -40,13 +40,13 @@ def xxh64(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int =
     data = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     four = np.ndarray((len(data) - 3,), "<u4", data, strides=(1,))
-    seed = np.uint64(seed)
     n = len(starts)
+    seed, begin = np.uint64(seed), [np.uint64((seed + x) & (1 << 64) - 1) for x in (int(P1) + int(P2), int(P2), 0, -int(P1))]
     h = np.full(n, seed + P5, np.uint64)
     at, left = starts.astype(np.int64), lengths.astype(np.int64)
     if len(long := np.flatnonzero(lengths >= 32)):
         order = long[np.argsort(-left[long], kind="stable")]
-        acc = [np.full(len(order), x, np.uint64) for x in (seed + P1 + P2, seed + P2, seed, seed - P1)]
+        acc = [np.full(len(order), x, np.uint64) for x in begin]
         stripes = left[order] // 32
         pos = at[order]
         for k in range(int(stripes[0])):
@@ -131,52 +131,77 @@ def fingerprint(shingle: int = 3, seed: int = 42):
     return of
 
 
-class BKTree:
-    """Fingerprints by Hamming distance: a child hangs from its parent by their distance."""
-
-    def __init__(self):
-        self.values: list[int] = []
-        self.children: list[dict[int, int]] = []
-
-    def near(self, value: int, radius: int) -> Iterator[int]:
-        """Places of the values within the radius; by the triangle inequality no other edges can lead to one."""
-        todo = [0] if self.values else []
-        while todo:
-            at = todo.pop()
-            d = (self.values[at] ^ value).bit_count()
-            if d <= radius:
-                yield at
-            children = self.children[at]
-            if len(children) <= 2 * radius + 1:
-                todo += [c for e, c in children.items() if d - radius <= e <= d + radius]
-            else:
-                todo += [children[e] for e in range(d - radius, d + radius + 1) if e in children]
-
-    def add(self, value: int) -> int:
-        new, at = len(self.values), 0
-        self.values.append(value)
-        self.children.append({})
-        while at != new:
-            at = self.children[at].setdefault((self.values[at] ^ value).bit_count(), new)
-        return new
-
-
-def tree_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within the radius: (value, smaller value of its tree)."""
-    tree, up = BKTree(), []
-
-    def top(i: int) -> int:
-        while up[i] != i:
-            up[i] = i = up[up[i]]
-        return i
-
-    for value in values:
-        found = {top(i) for i in tree.near(value, radius)}
-        new = tree.add(value)
-        up.append(new)
-        for i in found | {new}:
-            up[i] = min(found | {new})
-    return [(values[i], values[top(i)]) for i in range(len(values)) if top(i) != i]
+class BKForest:
+    """A BK-tree for each group of different fingerprints: a child hangs from its parent by their Hamming distance.
+
+    values: group after group; starts: where each group starts. All trees grow together, a level a step: of the values
+    that go down the same edge, the first becomes its node and the others go on from there.
+    """
+
+    def __init__(self, values: np.ndarray, starts: np.ndarray):
+        n = len(values)
+        self.values = values
+        self.root = np.repeat(starts, np.diff(np.append(starts, n)))
+        rest, edges, nodes = np.setdiff1d(np.arange(n), starts), [], []
+        at = self.root[rest]
+        while len(rest):
+            way = at * 65 + np.bitwise_count(values[rest] ^ values[at]).astype(np.int64)
+            ways, first, which = np.unique(way, return_index=True, return_inverse=True)
+            edges.append(ways)
+            nodes.append(rest[first])
+            going = np.ones(len(rest), bool)
+            going[first] = False
+            rest, at = rest[going], rest[first][which][going]
+        edges = np.concatenate([np.zeros(0, np.int64), *edges])
+        order = np.argsort(edges)
+        self.edges, self.nodes = edges[order], np.concatenate([np.zeros(0, np.int64), *nodes])[order]
+
+    def near(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, other value of its group within the radius), both by place; only edges that can lead to one are followed."""
+        asking, at = queries, self.root[queries]
+        while len(asking):
+            d = np.bitwise_count(self.values[asking] ^ self.values[at]).astype(np.int64)
+            hit = (d <= radius) & (asking != at)
+            yield asking[hit], at[hit]
+            low = np.searchsorted(self.edges, at * 65 + np.maximum(d - radius, 0))
+            many = np.searchsorted(self.edges, at * 65 + np.minimum(d + radius, 64), "right") - low
+            asking, at = np.repeat(asking, many), self.nodes[ragged(low, many)]
+
+
+def tree_links(values: np.ndarray, starts: np.ndarray, radius: int, at_once: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within each group: a value, and the smallest that links lead to from it."""
+    forest = BKForest(values, starts)
+    label = np.arange(len(values))
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        pairs = np.unique(np.stack([label[a], label[b]], axis=1), axis=0)
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        for x, y in pairs[pairs[:, 0] != pairs[:, 1]].tolist():
+            x, y = top(x), top(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        if up:
+            move = np.arange(len(values))
+            move[list(up)] = [top(x) for x in up]
+            label[:] = move[label]
+
+    sizes = np.diff(np.append(starts, len(values)))
+    asking = np.arange(len(values))[np.repeat(sizes > 1, sizes)]
+    step = max(1, at_once // int(sizes.max(initial=1)))
+    for k in range(0, len(asking), step):
+        for a, b in forest.near(asking[k : k + step], radius):
+            if len(a):
+                join(a, b)
+    smallest = values.copy()
+    np.minimum.at(smallest, label, values)
+    linked = np.flatnonzero(smallest[label] != values)
+    return values[linked], smallest[label][linked]
 
 
 def _masks(level: int, radius: int) -> dict[str, int]:
@@ -205,10 +230,10 @@ def _dealt(df: DataFrame, level: int, radius: int) -> DataFrame:
 def near_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """(u, v): links between distinct fingerprints (fp) that join all that are within the radius, directly or not."""
     spark = distinct.sparkSession
-    small_batches(spark, 10_000)
+    small_batches(spark)
     rows = _dealt(distinct.select("fp", F.lit("").alias("path")), 1, radius)
     done = []
-    for level in range(2, LEVELS + 1):
+    for level in range(2, (LEVELS if radius < 4 else LEVELS - 1) + 1):
         large = rows.groupBy("path", "value").count().where(F.col("count") > SHARD).drop("count")
         if large.isEmpty():
             break
@@ -218,25 +243,26 @@ def near_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
         rows = rows.unionByName(part)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, now = [], None
-        schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-        def linked(group: list[int]) -> list[tuple[int, int]]:
-            return tree_links(sorted(group), radius) if len(group) > 1 else []
+        def linked(path: np.ndarray, value: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            new = np.ones(len(fp), bool)
+            new[1:] = (path[1:] != path[:-1]) | (value[1:] != value[:-1])
+            u, v = tree_links(fp.view(np.uint64), np.flatnonzero(new), radius)
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
+        held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
-            out = []
-            path, value, fp = (c.to_pylist() for c in batch.columns)
-            for key, x in zip(zip(path, value), fp):
-                if key != now:
-                    out += linked(rest)
-                    rest, now = [], key
-                rest.append(x & 0xFFFFFFFFFFFFFFFF)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([p[k] for p in out], np.uint64).view(np.int64)) for k in (0, 1)], schema=schema)
-        out = linked(rest)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([p[k] for p in out], np.uint64).view(np.int64)) for k in (0, 1)], schema=schema)
-
-    return rows.repartition("path", "value").sortWithinPartitions("path", "value").mapInArrow(work, "u long, v long")
+            held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
+            path, value, fp = held
+            other = np.flatnonzero((path != path[-1]) | (value != value[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on in the next batch
+            if cut:
+                yield linked(path[:cut], value[:cut], fp[:cut].copy())
+                held = [h[cut:] for h in held]
+        if len(held[0]):
+            yield linked(held[0], held[1], held[2].copy())
+
+    numbered = rows.select(F.xxhash64("path").alias("path"), "value", "fp")
+    return numbered.repartition("path", "value").sortWithinPartitions("path", "value", "fp").mapInArrow(work, "u long, v long")
 
 
 def _classes(rows: DataFrame, radius: int) -> DataFrame:

@@ -58,15 +58,18 @@ def test_fingerprints(n):
     assert sh.simhash(*text_bytes(pa.array([t for _, t in rows])), n).tolist() == [brute_fp(t, n) for _, t in rows]
 
 
-def test_tree_finds_all_within_the_radius():
+def test_trees_find_all_within_the_radius():
     rng = random.Random(2)
-    values = list({rng.getrandbits(12) for _ in range(300)})
-    tree = sh.BKTree()
-    for v in values:
-        tree.add(v)
+    groups = [sorted({rng.getrandbits(12) for _ in range(n)}) for n in (300, 1, 2, 40)]
+    values = np.array([v for g in groups for v in g], np.uint64)
+    starts = np.cumsum([0, *map(len, groups)])[:-1]
+    group = np.repeat(np.arange(4), [len(g) for g in groups])
+    forest = sh.BKForest(values, starts)
     for r in (0, 1, 2, 4):
-        for v in values[:50]:
-            assert sorted(tree.values[i] for i in tree.near(v, r)) == sorted(x for x in values if (x ^ v).bit_count() <= r)
+        got = sorted((int(a), int(b)) for x, y in forest.near(np.arange(len(values)), r) for a, b in zip(x, y))
+        d = np.bitwise_count(values[:, None] ^ values[None, :])
+        a, b = np.nonzero((d <= r) & (group[:, None] == group[None, :]) & ~np.eye(len(values), dtype=bool))
+        assert got == sorted(zip(a.tolist(), b.tolist()))
 
 
 @pytest.mark.parametrize("shard", [1000, 2])
