@@ -1,4 +1,332 @@
-"""Registered queries over the reference-style operators, and their DuckDB equivalents."""
+"""Registered queries, one for each operator at least, and their DuckDB equivalents.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Files are documents (their text as UTF-8 bytes); an archive is made of the documents of one source, in order of doc_id. All
+queries read whole tables. SHA-256 stands in for BLAKE2b where there is an equivalent, as SQL engines have it.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from chunkloom.config import ChunkerConfig, Compression
+from chunkloom.functions import codecs, hashes, sizes
+from chunkloom.operators import chunking, clone, dictionary, diff, reorder
+
+#: Fixed chunk size, and small rolling chunks, for texts of a few kilobytes.
+SIZE = 256
+ROLL = ChunkerConfig("rollsum", 8, 64, 2048, 32, 32)
+BUZ = ChunkerConfig("buzhash", 8, 64, 2048, 32, 32)
+NAME = "coalesce(source, '')"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.expr(NAME).alias("archive_id"), F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
+
+
+def _fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(archive_id, file_id, seq, offset, length, hash) of fixed-size chunks."""
+    both = _files(spark, sf_dir).select(F.struct("archive_id", "file_id").alias("key"), "content")
+    return chunking.fixed_chunks(both, SIZE, key="key").select("key.*", "seq", "offset", "length", "hash")
+
+
+def _rolled(spark: SparkSession, sf_dir: str, config: ChunkerConfig = ROLL, name: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
+    return chunking.chunks(_table(spark, sf_dir, name), config, key=key, content=text, hash_algorithm="sha256")
+
+
+def _hex(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: hashes.to_hex(F.col(c)) for c in columns or ("hash",)})
+
+
+def _layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    cut = _fixed(spark, sf_dir)
+    numbered = dictionary.dictionary(cut)
+    return cut, numbered, dictionary.source_layout(dictionary.rebuild_order(cut, numbered), numbered)
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two layouts of each source: documents by doc_id, and by the length of their text."""
+    cut = _fixed(spark, sf_dir)
+    n = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.octet_length("text").cast("long").alias("n"))
+    by_size = cut.join(n, "file_id")
+    place = lambda df, order: dictionary.running(df, ["archive_id"], order, {"at": F.col("length")}).select("archive_id", "hash", "length", F.col("at").alias("offset"))
+    return place(cut.drop("offset"), ["file_id", "seq"]), place(by_size.drop("offset"), ["n", "file_id", "seq"])
+
+
+def _seeds(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every source seeds all others, by name."""
+    names = cut.select("archive_id").distinct()
+    ranked = names.select(F.col("archive_id").alias("provider"), (F.row_number().over(Window.orderBy("archive_id")) - 1).alias("rank"))
+    return ranked, cut.select(F.col("archive_id").alias("provider"), "hash").distinct().join(ranked, "provider")
+
+
+def fixed_chunks(spark, sf_dir):
+    return _hex(chunking.fixed_chunks(_table(spark, sf_dir, "documents"), SIZE, key="doc_id", content="text"))
+
+
+def rollsum_candidates(spark, sf_dir):
+    return chunking.candidates(_table(spark, sf_dir, "documents"), ROLL, key="doc_id", content="text")
+
+
+def rollsum_chunks(spark, sf_dir):
+    return _hex(_rolled(spark, sf_dir))
+
+
+def buzhash_chunks(spark, sf_dir):
+    return _hex(_rolled(spark, sf_dir, BUZ))
+
+
+def split_chunks(spark, sf_dir):
+    """Documents as splits of 700 bytes, cut as if whole."""
+    data = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("b"))
+    starts = F.when(F.length("b") > 0, F.sequence(F.lit(0).cast("long"), F.length("b").cast("long") - 1, F.lit(700).cast("long")))
+    splits = data.select("doc_id", "b", F.explode(starts).alias("split_offset")).select("doc_id", "split_offset", F.substr("b", F.col("split_offset").cast("int") + 1, F.lit(700)).alias("content"))
+    return _hex(chunking.chunks_of_splits(splits, ROLL, key="doc_id", hash_algorithm="sha256"))
+
+
+def page_chunks(spark, sf_dir):
+    return _hex(_rolled(spark, sf_dir, ROLL, "pages", "page_id", "html"))
+
+
+def chunk_size_stats(spark, sf_dir):
+    cut = _rolled(spark, sf_dir)
+    return cut.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("length").alias("bytes"), F.min("length").alias("smallest"), F.max("length").alias("largest"), F.expr("sum(length) div count(*)").alias("average"))
+
+
+def dedup_summary(spark, sf_dir):
+    """What rolling chunks would save in each source."""
+    both = _files(spark, sf_dir).select(F.struct("archive_id", "file_id").alias("key"), "content")
+    cut = chunking.chunks(both, ROLL, key="key", hash_algorithm="sha256").select("key.archive_id", "length", "hash")
+    return dictionary.summary(cut)
+
+
+def dedup_dictionary(spark, sf_dir):
+    return _hex(dictionary.dictionary(_fixed(spark, sf_dir)))
+
+
+def unique_chunks(spark, sf_dir):
+    return _hex(dictionary.unique_chunks(_fixed(spark, sf_dir)))
+
+
+def rebuild_order(spark, sf_dir):
+    cut = _fixed(spark, sf_dir)
+    return dictionary.rebuild_order(cut, dictionary.dictionary(cut))
+
+
+def source_layout(spark, sf_dir):
+    return _hex(_layout(spark, sf_dir)[2])
+
+
+def archive_layout(spark, sf_dir):
+    numbered = dictionary.dictionary(_fixed(spark, sf_dir))
+    return _hex(dictionary.archive_layout(numbered, "source_size"))
+
+
+def chunk_index(spark, sf_dir):
+    found = dictionary.chunk_index(_layout(spark, sf_dir)[2])
+    return _hex(found).withColumn("offsets", F.array_join("offsets", ","))
+
+
+def truncated_identity(spark, sf_dir):
+    short = _fixed(spark, sf_dir).select(hashes.truncate(F.col("hash"), 4).alias("hash"), "length")
+    return _hex(short.groupBy("hash").agg(F.count("*").alias("chunks"), F.max("length").alias("largest")))
+
+
+def truncation_collisions(spark, sf_dir):
+    return _hex(dictionary.truncation_collisions(_fixed(spark, sf_dir), 2), "prefix")
+
+
+def prefix_equality(spark, sf_dir):
+    """Hashes against a prefix of the hash of the same text without its last character."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    a, b = F.unhex(F.sha2("t", 256)), F.unhex(F.sha2(F.rtrim("t"), 256))
+    return d.select("doc_id", hashes.same_prefix(a, hashes.truncate(b, 4)).alias("same"), hashes.same_prefix(a, F.lit(b"")).alias("empty"))
+
+
+def reassemble_verify(spark, sf_dir):
+    """Documents put together from their rolling chunks: the hash is that of the text."""
+    cut = chunking.chunks(_table(spark, sf_dir, "documents"), ROLL, key="doc_id", content="text", hash_algorithm="sha256", with_data=True)
+    whole = clone.reassembled(cut, ["doc_id"])
+    return whole.select("doc_id", "size", "whole", F.sha2("content", 256).alias("hash"))
+
+
+def provider_precedence(spark, sf_dir):
+    cut, _, layout = _layout(spark, sf_dir)
+    placed = clone.providers(layout.select("archive_id", "hash", "length", "offset"), _seeds(cut)[1])
+    return _hex(placed)
+
+
+def seed_matches(spark, sf_dir):
+    cut, _, layout = _layout(spark, sf_dir)
+    found = clone.seed_matches(layout.select("archive_id", "hash", "length", "offset"), _seeds(cut)[1])
+    return found.groupBy("archive_id").agg(F.count("*").alias("places"), F.sum("length").alias("bytes"))
+
+
+def missing_chunks(spark, sf_dir):
+    cut, _, layout = _layout(spark, sf_dir)
+    return _hex(clone.missing(layout.select("archive_id", "hash", "length", "offset"), _seeds(cut)[1]))
+
+
+def clone_counters(spark, sf_dir):
+    cut, _, layout = _layout(spark, sf_dir)
+    return clone.counters(clone.providers(layout.select("archive_id", "hash", "length", "offset"), _seeds(cut)[1]))
+
+
+def in_place(spark, sf_dir):
+    return clone.in_place(*_versions(spark, sf_dir))
+
+
+def remaining_offsets(spark, sf_dir):
+    return _hex(clone.remaining(*_versions(spark, sf_dir)).distinct())
+
+
+def overlap_pairs(spark, sf_dir):
+    current, target = _versions(spark, sf_dir)
+    return _hex(clone.overlaps(current, target, SIZE), "hash", "target_hash")
+
+
+def reorder_ops(spark, sf_dir):
+    current, target = _versions(spark, sf_dir)
+    return _hex(reorder.reorder(current, target, SIZE)).withColumn("dest", F.array_join("dest", ","))
+
+
+def range_requests(spark, sf_dir):
+    """The parts of each source's archive that no other source has, in as few requests as possible."""
+    cut, numbered, layout = _layout(spark, sf_dir)
+    gone = clone.missing(layout.select("archive_id", "hash", "length", "offset"), _seeds(cut)[1]).select("archive_id", "hash")
+    stored = dictionary.archive_layout(numbered, "source_size").join(gone, ["archive_id", "hash"], "left_semi")
+    return clone.coalesced(stored.select("archive_id", "idx", F.col("archive_offset").alias("offset"), F.col("archive_size").alias("size")))
+
+
+def _sides(spark, sf_dir):
+    """English documents, and those in other languages."""
+    cut = chunking.fixed_chunks(_table(spark, sf_dir, "documents"), SIZE, key="doc_id", content="text")
+    lang = _table(spark, sf_dir, "documents").select("doc_id", (F.coalesce("lang", F.lit("")) == "en").alias("en"))
+    both = cut.join(lang, "doc_id")
+    return both.where("en"), both.where("not en")
+
+
+def diff_classes(spark, sf_dir):
+    return _hex(diff.classes(*_sides(spark, sf_dir)))
+
+
+def diff_summary(spark, sf_dir):
+    return diff.report(diff.classes(*_sides(spark, sf_dir)))
+
+
+def set_operations(spark, sf_dir):
+    a, b = (x.select("hash") for x in _sides(spark, sf_dir))
+    sets = {"union": diff.union(a, b), "intersection": diff.intersection(a, b), "a_minus_b": diff.difference(a, b), "b_minus_a": diff.difference(b, a)}
+    parts = [df.agg(F.count("*").alias("chunks")).select(F.lit(name).alias("operation"), "chunks") for name, df in sets.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def info_report(spark, sf_dir):
+    totals = dictionary.summary(_fixed(spark, sf_dir))
+    return totals.select("archive_id", "chunks", "unique_chunks", "bytes", "unique_bytes", "average_size", sizes.human_size(F.col("bytes")).alias("size_text"))
+
+
+def human_size(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
+    return d.select("doc_id", sizes.human_size(F.col("n")).alias("small"), sizes.human_size(F.col("n") * 1000).alias("large"))
+
+
+def parse_size(spark, sf_dir):
+    unit = F.get(F.array(*map(F.lit, ("", "B", "KiB", "MiB", "GiB", "kB"))), F.pmod("doc_id", F.lit(6)).cast("int"))
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.length("text").cast("string"), unit).alias("size_text"))
+    return d.select("doc_id", "size_text", sizes.parse_size(F.col("size_text"), strict=False).alias("bytes"))
+
+
+def hex_roundtrip(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    odd = F.expr("substring(h, 2)")
+    return d.select("doc_id", hashes.to_hex(hashes.from_hex(F.col("h"))).alias("even"), hashes.to_hex(hashes.from_hex(odd)).alias("odd"))
+
+
+def metadata_lookup(spark, sf_dir):
+    """Metadata of each source, by key: its languages, with the documents of each as value."""
+    d = _table(spark, sf_dir, "documents").select(F.expr(NAME).alias("archive_id"), F.coalesce("lang", F.lit("")).alias("key"))
+    n = d.groupBy("archive_id", "key").agg(F.count("*").alias("n"))
+    stored = n.groupBy("archive_id").agg(F.map_from_entries(F.collect_list(F.struct("key", F.col("n").cast("string").cast("binary").alias("v")))).alias("metadata"))
+    listing = F.array_join(F.transform(F.array_sort(F.map_keys("metadata")), lambda k: F.concat(k, F.lit("("), F.length(F.element_at("metadata", k)), F.lit(")"))), ", ")
+    return stored.select("archive_id", F.try_element_at("metadata", F.lit("en")).cast("string").alias("english"), listing.alias("listing"))
+
+
+def codec_marker(spark, sf_dir):
+    """Chunks that compression would not make smaller are stored as they are, and marked so by their size."""
+    cut = chunking.chunks(_table(spark, sf_dir, "documents"), ROLL, key="doc_id", content="text", hash_algorithm="sha256", with_data=True)
+    stored = codecs.smaller(F.col("data"), F.when(F.length("data") >= 256, F.substring("data", 1, 200)).otherwise(F.concat("data", "data")))
+    sized = cut.select("doc_id", "seq", "length", F.length(stored).cast("long").alias("archive_size"))
+    return sized.select("*", codecs.codec_of(F.col("archive_size"), F.col("length"), "brotli").alias("codec"))
+
+
+def compress_roundtrip(spark, sf_dir):
+    """Every document compressed, stored if smaller, and expanded again, with each codec."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    parts = []
+    for how in (Compression(None), Compression("brotli", 4), Compression("zstd", 3), Compression("lzma", 1)):
+        stored = codecs.smaller(F.col("data"), codecs.compressed(F.col("data"), how))
+        kept = d.select("doc_id", F.length("data").cast("long").alias("n"), stored.alias("stored"))
+        kept = kept.withColumn("codec", codecs.codec_of(F.length("stored").cast("long"), F.col("n"), how.codec))
+        back = codecs.expanded(F.col("stored"), F.col("codec"), F.col("n"))
+        parts.append(kept.select("doc_id", F.lit(how.codec or "none").alias("codec"), F.sha2(back, 256).alias("hash")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def blake2_identity(spark, sf_dir):
+    cut = chunking.chunks(_table(spark, sf_dir, "documents"), ROLL, key="doc_id", content="text")
+    return _hex(cut)
+
+
+def _shared(spark: SparkSession, tag: str) -> str:
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="chunkloom-")
+    return f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def streaming_dedup(spark, sf_dir):
+    """Documents as a stream, deduplicated chunk by chunk as they arrive."""
+    from chunkloom.streaming.arriving import deduplicate
+
+    schema = _table(spark, sf_dir, "documents").schema
+    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*").select("doc_id", "text")
+    path = _shared(spark, "stream")
+    writer = deduplicate(arriving, ROLL, f"{path}/chunks", f"{path}/state", key="doc_id", content="text", hash_algorithm="sha256")
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/chunks").select(hashes.to_hex(F.col("hash")).alias("hash"), "length")
+
+
+def streaming_segments(spark, sf_dir):
+    """Conversations as streams of turns, each cut as one text."""
+    from chunkloom.streaming.arriving import chunk_segments
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    numbered = turns.select("conv_id", (F.row_number().over(by) - 1).alias("segment"), F.col("text").alias("content"), F.lead("turn").over(by).isNull().alias("last"))
+    path = _shared(spark, "segments")
+    numbered.write.parquet(f"{path}/in")
+    arriving = spark.readStream.schema(numbered.schema).parquet(f"{path}/in")
+    query = chunk_segments(arriving, ChunkerConfig.fixed(SIZE, 32), key="conv_id", hash_algorithm="sha256").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return _hex(spark.read.parquet(f"{path}/out"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        fixed_chunks, rollsum_candidates, rollsum_chunks, buzhash_chunks, split_chunks, page_chunks, chunk_size_stats, dedup_summary, dedup_dictionary,
+        unique_chunks, rebuild_order, source_layout, archive_layout, chunk_index, truncated_identity, truncation_collisions, prefix_equality,
+        reassemble_verify, provider_precedence, seed_matches, missing_chunks, clone_counters, in_place, remaining_offsets, overlap_pairs,
+        reorder_ops, range_requests, diff_classes, diff_summary, set_operations, info_report, human_size, parse_size, hex_roundtrip,
+        metadata_lookup, codec_marker, compress_roundtrip, blake2_identity, streaming_dedup, streaming_segments,
+    )
+}
+
+from chunkloom.plans.oracles import ORACLES  # noqa: E402, F401
