@@ -49,15 +49,15 @@ def plan(moves: dict, children: dict) -> list[tuple]:
     return steps
 
 
-def reorder(current: DataFrame, target: DataFrame, widest: int) -> DataFrame:
+def reorder(current: DataFrame, target: DataFrame, widest: int, strip: bool = True) -> DataFrame:
     """(archive_id, step, op, hash, size, source, dest array): the moves of each archive from its current to its target layout.
 
-    Both: (archive_id, hash, length, offset). A chunk is read from its first current place; places that hold their chunk
-    already are not written. Chunks that are only in one of both have no part.
+    Both: (archive_id, hash, length, offset), no length over `widest`. A chunk is read from its first current place; places
+    that hold their chunk already are not written (they are if strip is false). Chunks that are only in one of both have no part.
     """
     from .clone import overlaps, remaining
 
-    todo = remaining(current, target)
+    todo = remaining(current, target) if strip else target
     here = current.groupBy("archive_id", "hash").agg(F.min("offset").alias("offset"), F.first("length").alias("length"))
     shared = here.join(todo.select("archive_id", "hash").distinct(), ["archive_id", "hash"], "left_semi")
     dest = todo.join(shared.select("archive_id", "hash"), ["archive_id", "hash"], "left_semi")
