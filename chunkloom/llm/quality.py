@@ -30,7 +30,7 @@ def words(text: Column) -> Column:
 
 def occurrences(text: Column, characters: str) -> Column:
     """How many of some ASCII characters a text has."""
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
+    return F.regexp_count(text, F.lit("[" + "".join(f"\\{c}" for c in characters) + "]")).cast("long")
 
 
 def repeated_words(w: Column) -> Column:
@@ -60,7 +60,7 @@ def line_fails(line: Column) -> Column:
         n = F.size(w)
         menu = F.size(F.filter(w, lambda x: (F.length(x) == 1) & F.lit(MENU).contains(x)))
         return (n > 0) & (
-            (occurrences(line, SYMBOLS) * 100 > F.length(F.translate(line, " \t\n\x0b\x0c\r", "")) * b["symbols"])
+            (occurrences(line, SYMBOLS) * 100 > (F.length(line) - F.regexp_count(line, F.lit(f"[{SPACE}]"))) * b["symbols"])
             | (occurrences(line, "!?") > n * b["marks"])
             | ((menu >= b["signs"]) & (menu * 100 >= n * b["menu"]))
             | ((n >= b["long"]) & (F.size(F.array_distinct(w)) * 100 < n * b["varied"]))
@@ -80,7 +80,7 @@ def measures(text: Column) -> Column:
         n = F.size(w).cast("long")
         return F.struct(
             n.alias("n_words"),
-            F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
+            (F.length(text) - F.regexp_count(text, F.lit(f"[{SPACE}]"))).cast("long").alias("word_chars"),
             occurrences(text, SYMBOLS).alias("n_symbols"),
             let(spoken, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
             repeated_words(w).alias("n_repeat_words"),
@@ -110,7 +110,8 @@ def assess(df: DataFrame, *, text: str = "text", into: str = "quality") -> DataF
 def clean(df: DataFrame, *, text: str = "text") -> DataFrame:
     """The rows that are kept, with the lines that fail taken out of their texts; columns as they were."""
     name = fresh(df, "quality")
-    out = assess(df, text=text, into=name).where(F.col(name)["kept"])
+    kept = F.filter(F.array(measures(F.col(text))), lambda x: x["kept"])  # exploded, so that figures are taken once for test and text
+    out = df.select("*", F.explode(kept).alias(name))
     return out.select(*[F.col(name)["kept_text"].alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
 
 
