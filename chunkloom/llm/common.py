@@ -35,14 +35,16 @@ def small_batches(spark: SparkSession) -> None:
 
 
 class Table:
-    """A table written in the shared folder; it outlives executors and cuts the lineage."""
+    """A table written in the shared folder; it outlives executors and cuts the lineage. It goes when the application ends."""
 
-    def __init__(self, df: DataFrame, tag: str, partition_by: str | None = None):
+    def __init__(self, df: DataFrame, tag: str):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark).rstrip('/')}/chunkloom-{tag}-{uuid.uuid4().hex}"
         self.schema = df.schema
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path)
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        self.files = folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        df.write.option("compression", "zstd").parquet(self.path)
+        self.files[1].deleteOnExit(folder)
 
     @property
     def df(self) -> DataFrame:
@@ -50,9 +52,7 @@ class Table:
 
     def drop(self) -> None:
         """Delete the files, once nothing that is still to run reads them."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.files[1].delete(self.files[0], True)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -205,10 +205,12 @@ def repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", window: i
     parts = _trees(contexts.where("words is not null"), window, gram)
     hot = contexts.where("windows is not null").select("prefix", "around", "doc", F.posexplode("windows").alias("at", "key")).where("key is not null")
     smallest = hot.groupBy("key").agg(F.min("doc").alias("smallest"), F.max("doc").alias("largest")).where("smallest < largest").select("key", "smallest")
+    smallest = Table(smallest, "smallest").df  # as below: a hot window can be split
     at = (F.col("at") + gram).cast("long")
     long_prefix = hot.join(smallest, "key").where("doc > smallest").groupBy("prefix", "around").agg(F.min(at).alias("least"), F.max(at).alias("most"))
     found = same.join(parts.unionByName(long_prefix), ["prefix", "around"], "left").where("copied or least is not null")
     found = found.select("prefix", "around", F.col("first.doc").alias("smallest"), F.coalesce("least", F.lit(0)).alias("least"), F.coalesce("most", F.lit(0)).alias("most"))
+    found = Table(found, "found").df  # so that both sides of the next join are exchanged anew, and a hot context can be split
     here = suffixes.join(found, ["prefix", "around"])
     later = F.col("doc") > F.col("smallest")
     spans = here.where((later & (F.col("n_left") + F.col("n_right") >= window)) | (~later & (F.col("least") > 0)))
