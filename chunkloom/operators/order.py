@@ -5,18 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a sequence stretch, about.
-STRETCH = 1_000_000
+#: Bytes of input for each stretch that sequences are cut into; rows, where the size of the input isn't known.
+STRETCH, ROWS = 256 << 20, 1_000_000
 
 
-def running(df: DataFrame, group: list[str], order: list[str], values: dict[str, Column], rows: int | None = None) -> DataFrame:
+def _stretches(df: DataFrame) -> int:
+    """As many as the tables that a plan reads ask for, by their statistics: no job runs for it if they have any."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    if max(sizes, default=0) >= 1 << 60:
+        return max(1, -(-df.count() // ROWS))
+    return max(1, -(-sum(sizes) // STRETCH))
+
+
+def running(df: DataFrame, group: list[str], order: list[str], values: dict[str, Column], stretches: int | None = None) -> DataFrame:
     """The table with a column for each of `values`: the sum of the group's rows before this one, by the order.
 
-    The first order column (a number, without nulls) cuts sequences into stretches by quantiles of the whole table. Sums
-    within a stretch and sums of the stretches before it are taken apart, so no task holds a whole sequence unless it is short.
+    The first order column (a number, without nulls) cuts sequences into stretches by quantiles of the whole table, as many
+    as the input's size asks for. Sums within a stretch and sums of the stretches before it are taken apart, so no task holds a whole
+    sequence unless it is short.
     """
-    n = df.count() if rows is None else rows
-    parts = max(1, -(-n // STRETCH))
+    parts = _stretches(df) if stretches is None else stretches
     stretch = F.lit(0)
     if parts > 1:
         bounds = df.agg(F.percentile_approx(order[0], [k / parts for k in range(1, parts)], 100 * parts)).first()[0]

@@ -103,7 +103,8 @@ def test_ranges_that_touch_are_one_request(spark):
 
 
 def test_running_sums_by_stretches(spark, monkeypatch):
-    monkeypatch.setattr(order, "STRETCH", 7)
+    monkeypatch.setattr(order, "STRETCH", 100)
+    monkeypatch.setattr(order, "ROWS", 7)
     rng = random.Random(1)
     rows = [(rng.choice("ab"), i, rng.randrange(9)) for i in range(60)]
     got = order.running(spark.createDataFrame(rows, "g string, k long, v long"), ["g"], ["k"], {"n": F.lit(1), "s": F.col("v")}).collect()
