@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import coder_of
-from .common import Table, binary_rows, ragged, shared_folder, slices, small_batches
+from .common import Table, binary_rows, ragged, shared_folder, slices, small_batches, text_bytes
 
 #: Longest code in bits (more only if there are more ids than codes), ids between marks, ids in a block or shard.
 LIMIT, STEP, BLOCK, SHARD = 16, 256, 1 << 20, 1 << 24
@@ -135,8 +135,6 @@ def _coded_ids(df: DataFrame, definition: str, pattern: str, end: int, key: str,
 
 
 def _flat(column: pa.Array, small) -> np.ndarray:
-    from .common import text_bytes
-
     raw, _ = text_bytes(column)
     return np.frombuffer(raw.tobytes(), small)
 
