@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.config import ChunkerConfig
 from chunkloom.errors import ConfigError
-from chunkloom.functions.hashes import ALGORITHMS, digest
+from chunkloom.functions.hashes import ALGORITHMS, digest, hash_of, truncate
 
 from .kernels import Scanner, chunk_ends, rolling_sums
 
@@ -139,8 +140,6 @@ def chunks_of_splits(splits: DataFrame, config: ChunkerConfig, *, key: str = "fi
         if config.algorithm == "fixed":
             ends = np.minimum(np.arange(config.max_size, n + config.max_size, config.max_size), n)
         else:
-            from bisect import bisect_left
-
             ends, start, hit = [], 0, place.tolist()
             while start < n:
                 test = start + config.first_tested
@@ -164,8 +163,6 @@ def chunks_of_splits(splits: DataFrame, config: ChunkerConfig, *, key: str = "fi
     part = F.substr("c", (a - F.col("s") + 1).cast("int"), (b - a).cast("int"))
     data = touch.groupBy(key, "seq", "offset", "length").agg(F.sort_array(F.collect_list(F.struct("s", part.alias("part")))).alias("parts"))
     joined_ = F.aggregate("parts", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["part"]))
-    from chunkloom.functions.hashes import hash_of, truncate
-
     return data.select(key, "seq", "offset", "length", truncate(hash_of(joined_, hash_algorithm), config.hash_length).alias("hash"))
 
 
