@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table, fresh, ragged, slices, small_batches, text_bytes, word_spans
+from .common import Table, fresh, mix64, ragged, slices, small_batches, text_bytes, word_spans
 from .graph import components
 
 #: Distinct fingerprints in a shard beyond which it is cut anew, and how often that is done.
 SHARD, LEVELS = 2000, 4
+#: MinHash bands and the minima in each. Two texts that share 0.8 of their shingles agree in no band once in 14,000 times.
+BANDS, ROWS = 24, 5
 
 # The five primes of XXH64.
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
@@ -82,15 +84,14 @@ def xxh64(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int =
     return h ^ (h >> np.uint64(32))
 
 
-def simhash(raw: np.ndarray, offsets: np.ndarray, shingle: int, seed: int = 42) -> np.ndarray:
-    """The fingerprint of each row of text bytes."""
+def shingles(raw: np.ndarray, offsets: np.ndarray, shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The XXH64 of every shingle, where each row's begin, and the rows that have any."""
     raw = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
     starts, stops, words = word_spans(raw, offsets)
-    out = np.zeros(len(offsets) - 1, np.uint64)
     counts = np.diff(words)
     full = np.flatnonzero(counts)
     if not len(full):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), full
     keep = np.zeros(len(raw) + 1, np.int8)  # +1 where a word starts, -1 where it stops: its bytes
     keep[starts] += 1
     keep[stops] -= 1
@@ -107,13 +108,37 @@ def simhash(raw: np.ndarray, offsets: np.ndarray, shingle: int, seed: int = 42)
     edges = np.cumsum(per) - per
     first = np.repeat(words[full] - edges, per) + np.arange(int(per.sum()))
     last = np.minimum(first + shingle, np.repeat(words[full + 1], per)) - 1
-    hashes = xxh64(text, starts[first], stops[last] - starts[first], seed)
+    return xxh64(text, starts[first], stops[last] - starts[first], seed), edges, full
+
+
+def majority(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The bits that more than half of each row's hashes have."""
+    per = np.diff(np.append(edges, len(hashes)))
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
     ones = np.add.reduceat(bits, edges, axis=0, dtype=np.int32)
-    out[full] = np.packbits(2 * ones > per[:, None], axis=1).reshape(-1).view(np.uint64)
+    return np.packbits(2 * ones > per[:, None], axis=1).reshape(-1).view(np.uint64)
+
+
+def simhash(raw: np.ndarray, offsets: np.ndarray, shingle: int, seed: int = 42) -> np.ndarray:
+    """The fingerprint of each row of text bytes."""
+    out = np.zeros(len(offsets) - 1, np.uint64)
+    hashes, edges, full = shingles(raw, offsets, shingle, seed)
+    if len(full):
+        out[full] = majority(hashes, edges)
     return out
 
 
+def different(hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes of each row, ascending, and where each row's begin."""
+    row = np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(hashes))))
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    hashes, row = hashes[new], row[new]
+    return hashes, np.searchsorted(row, np.arange(len(edges)))
+
+
 def fingerprint(shingle: int = 3, seed: int = 42):
     """A column function: the 64-bit SimHash of a whole text, as a signed number.
 
@@ -131,6 +156,62 @@ def fingerprint(shingle: int = 3, seed: int = 42):
     return of
 
 
+def sketch(shingle: int, seed: int = 42):
+    """A column function: fp (as fingerprint), n and hash of the set of different shingles, and a hash for each MinHash band.
+
+    Texts without words have n = 0, hash 0 and no bands.
+    """
+    numbers = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) + np.uint64(seed << 20))
+    salts, factors = numbers[::2], numbers[1::2] | np.uint64(1)
+
+    @F.arrow_udf("struct<fp:long,n:long,hash:long,bands:array<long>>")
+    def of(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        parts = []
+        for x in slices(iter([batch]), 0):
+            hashes, edges, full = shingles(*text_bytes(x.column(0)), shingle, seed)
+            rows = x.num_rows
+            fp, n, whole, keys = np.zeros(rows, np.uint64), np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.zeros((len(full), BANDS), np.uint64)
+            if len(full):
+                fp[full] = majority(hashes, edges)
+                hashes, edges = different(hashes, edges)
+                n[full] = np.diff(np.append(edges, len(hashes)))
+                whole[full] = np.add.reduceat(mix64(hashes), edges)
+                for b in range(BANDS):
+                    key = np.full(len(full), b + 1, np.uint64)
+                    for k in range(b * ROWS, (b + 1) * ROWS):
+                        key = mix64(key * factors[0] ^ np.minimum.reduceat((hashes ^ salts[k]) * factors[k], edges))
+                    keys[:, b] = key
+            many = np.zeros(rows, np.int64)
+            many[full] = BANDS
+            offsets = pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32())
+            bands = pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64)))
+            parts.append(pa.StructArray.from_arrays([pa.array(fp.view(np.int64)), pa.array(n), pa.array(whole.view(np.int64)), bands], ["fp", "n", "hash", "bands"]))
+        kind = pa.struct([("fp", pa.int64()), ("n", pa.int64()), ("hash", pa.int64()), ("bands", pa.list_(pa.int64()))])
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return of
+
+
+def shingle_set(shingle: int, seed: int = 42):
+    """A column function: the hashes of the different shingles of a text."""
+
+    @F.arrow_udf("array<long>")
+    def of(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        parts = []
+        for x in slices(iter([batch]), 0):
+            hashes, edges, full = shingles(*text_bytes(x.column(0)), shingle, seed)
+            many = np.zeros(x.num_rows, np.int64)
+            if len(full):
+                hashes, edges = different(hashes, edges)
+                many[full] = np.diff(np.append(edges, len(hashes)))
+            parts.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(hashes.view(np.int64))))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
+
+    return of
+
+
 class BKForest:
     """A BK-tree for each group of different fingerprints: a child hangs from its parent by their Hamming distance.
 
@@ -286,21 +367,89 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", s
     return rows.join(_classes(rows, radius).drop("root"), "fp").select(F.col("key").alias(key), "fp", "component")
 
 
-def drop_near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+def _same_shingles(pairs: DataFrame, df: DataFrame, nodes: DataFrame, key: str, text: str, shingle: int, similarity: float, seed: int) -> DataFrame:
+    """The pairs (u, v) of nodes that share so much of their shingles, counted on the shingles themselves."""
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    where = nodes.join(asked, "node", "left_semi").select("node", F.col("place.key").alias("key_"), F.col("place.text").alias("text_"))
+    texts = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    found = where.join(texts, F.col("key_").eqNullSafe(F.col("key")) & (F.col("text_") == F.col("hash"))).dropDuplicates(["node"])
+    sets = Table(found.select("node", shingle_set(shingle, seed)("text").alias("set")), "sets")
+    u, v = (sets.df.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "uv")
+    shared = F.size(F.array_intersect("set_u", "set_v")).cast("long")
+    # in whole numbers where similarity is a decimal of up to six digits
+    enough = shared * 1_000_000 >= (F.size("set_u") + F.size("set_v") - shared) * F.lit(round(similarity * 1_000_000)).cast("long")
+    out = Table(pairs.join(u, "u").join(v, "v").where(enough).select("u", "v"), "similar")
+    sets.drop()
+    return out.df
+
+
+def _similar(df: DataFrame, rows: DataFrame, key: str, text: str, shingle: int, radius: int, similarity: float, seed: int) -> DataFrame:
+    """(node, root, component) of rows (key, text, node, n, fp, bands): what links of at least that similarity join.
+
+    Candidates are the links of SimHash within the radius, and texts that agree in a MinHash band; only what the shingles
+    themselves confirm is a link. Of a band, all are first held against one; then each against each of those that aren't joined yet.
+    """
+    least = F.min(F.struct("key", "text"))
+    nodes = rows.groupBy("node").agg(F.min("key").alias("first"), least.alias("place"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = Table(nodes, "nodes").df
+    fps = Table(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("top")), "distinct").df
+    by_bits = near_links(fps.select("fp"), radius)
+    tops = [fps.select(F.col("fp").alias(x), F.col("top").alias(f"top_{x}")) for x in "uv"]
+    by_bits = by_bits.join(tops[0], "u").join(tops[1], "v").select(F.col("top_u").alias("u"), F.col("top_v").alias("v"))
+    equal_bits = nodes.where("n > 0").join(fps, "fp").select(F.col("node").alias("u"), F.col("top").alias("v"))
+    banded = nodes.select("node", "n", F.explode("bands").alias("band"))
+    chosen = banded.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "node").alias("h"), "node")).alias("x"), F.min("node").alias("a"), F.max("node").alias("b"))
+    chosen = chosen.where("a < b").select("band", F.col("x.node").alias("top"))
+    banded = Table(banded.join(chosen, "band"), "bands").df  # only bands of several
+    stars = banded.select(F.col("node").alias("u"), F.col("top").alias("v"))
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+    check = lambda pairs: _same_shingles(pairs, df, nodes, key, text, shingle, similarity, seed)
+    tried = Table(ordered(by_bits.unionByName(equal_bits).unionByName(stars)), "pairs").df
+    links = check(tried)
+    roots = components(links).df
+    # what agrees in a band and isn't joined yet
+    named = banded.join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
+    open_ = named.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band")
+    named = Table(named.join(open_, "band", "left_semi"), "open").df
+    a, b = (named.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root")]) for x in "uv")
+    others = a.join(b, "band").where("node_u > node_v and root_u <> root_v").where(F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v") - 1e-6)
+    others = others.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
+    others = Table(others, "pairs").df
+    if not others.isEmpty():
+        links = links.unionByName(check(others))
+        roots = components(links).df
+    linked = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    return linked.join(linked.groupBy("root").agg(F.min("first").alias("component")), "root").select("node", "root", "component")
+
+
+def drop_near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, similarity: float | None = None, seed: int = 42) -> DataFrame:
     """One row of each component of near_duplicates: that of the smallest key (all columns as they were).
 
-    Where some keys are null or repeated, the row with the smallest key (null last), then the smallest hash of its text
-    stays, and one of several equal rows.
+    With a similarity, rows link if they share so much of their different shingles (Jaccard), whatever their fingerprints;
+    all texts without words link. Where some keys are null or repeated, the row with the smallest key (null last), then
+    the smallest hash of its text stays, and one of several equal rows.
     """
     small_batches(df.sparkSession)
-    rows = Table(df.select(F.col(key).alias("key"), fingerprint(shingle, seed)(text).alias("fp")), "fingerprints").df
-    if rows.agg(F.count("*") == F.count_distinct("key")).first()[0]:
-        keep = rows.join(_classes(rows, radius), "fp").where("key = component").select(F.col("key").alias(key))
+    if similarity is None:
+        node = fingerprint(shingle, seed)
+        rows = Table(df.select(F.col(key).alias("key"), node(text).alias("fp")), "fingerprints").df
+        found = lambda: _classes(rows, radius).withColumnRenamed("fp", "node")
+        named = rows.withColumnRenamed("fp", "node")
+    else:
+        node = lambda t: sketch(shingle, seed)(t)["hash"]
+        sketched = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("text"), sketch(shingle, seed)(text).alias("s"))
+        named = Table(sketched.select("key", "text", F.col("s.hash").alias("node"), "s.n", "s.fp", "s.bands"), "sketches").df
+        found = lambda: _similar(df, named, key, text, shingle, radius, similarity, seed)
+    if named.agg(F.count("*") == F.count_distinct("key")).first()[0]:
+        keep = named.select("key", "node").join(found(), "node").where("key = component").select(F.col("key").alias(key))
         return df.join(keep, key, "left_semi").select(*df.columns)
-    fp, rank = fresh(df, "fp"), fresh(df, "rank")
-    classes = _classes(rows, radius).select(F.col("fp").alias(fp), F.col("root").alias(rank))
+    name, rank = fresh(df, "fp"), fresh(df, "rank")
+    classes = found().select(F.col("node").alias(name), F.col("root").alias(rank))
     order = Window.partitionBy(rank).orderBy(F.col(key).asc_nulls_last(), F.xxhash64(text))
-    marked = df.withColumn(fp, fingerprint(shingle, seed)(text)).join(classes, fp)
+    marked = df.withColumn(name, node(text)).join(classes, name)
     return marked.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*df.columns)
 
 
