@@ -5,7 +5,7 @@
 2. Blocks. A source is cut into blocks of about equal words by a hash of its rows. Its target is so many whole
    passes over all blocks, and a part of one more: blocks in a permuted order until the next doesn't fit, of that
    block sub-blocks, and of that sub-block rows.
-   What is then missing is made up by the one row, of those not drawn in that pass, whose size is nearest to it.
+   What is then missing is made up by rows not drawn in that pass: all that fit, then the one whose size is nearest to what is left.
 3. Quotas. A source has as many tickets as it draws blocks. A binary tree deals all tickets to the shards: each node halves
    its number of tickets, and how many of each source go left is a multivariate hypergeometric draw.
 4. Draws. Shard k takes, of each source, the tickets after those of shards before it: disjoint stretches of
@@ -26,6 +26,8 @@ from .common import SPACE, Table, fresh, let
 WEIGHTS, REPEATS, BLOCKS, PARTS, SHARDS = (5, 2, 1), 3, 1024, 1024, 16
 #: Sources up to which their plans (with BLOCKS entries in all, and one each at least) are broadcast.
 BROADCAST = 50_000
+#: Rows of a source that are tried at a time to make up the rest of its target.
+TOPS = 256
 
 
 def n_words(text: Column) -> Column:
@@ -147,10 +149,27 @@ def plan(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     three = three.withColumn("stop", _stop(F.col("parts"), F.col("room2"))).select("source", F.col("stop.last").alias("last"), (F.col("room2") - F.col("stop.before")).alias("room3"))
     drawn = _same(_same(one, two, "left"), three, "left").withColumn("rest", F.coalesce("room3", "room2", "room1"))
     drawn = Table(drawn.drop("room1", "room2", "room3"), "draws").df
-    # one row to make up the rest
-    left = _same(sized.where("size > 0"), drawn.where("rest > 0")).where("abs(size - rest) < rest").where(~_extra(F.col, F.col("u")))
-    nearest = left.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("rest")).alias("d"), "u")).alias("x")).select("source", F.col("x.u").alias("top"))
-    whole = Table(_same(drawn, nearest, "left"), "draws").df
+    # rows to make up the rest: those that fit, by hash, then the one nearest to what is left
+    def not_drawn(now: DataFrame) -> DataFrame:
+        free = _same(sized.where("size > 0"), now.where("rest > 0")).where("size < 2 * rest").where(~_extra(F.col, F.col("u")))
+        free = free.where(~F.array_contains("tops", F.col("u")))
+        return free.groupBy("source", "u").agg(F.sum("size").cast("double").alias("w"), F.first("rest").alias("rest"))
+
+    now = Table(drawn.withColumn("tops", F.array().cast("array<long>")), "draws").df
+    while True:
+        by_hash = Window.partitionBy("source").orderBy("u")
+        fits = not_drawn(now).where("w <= rest").withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= TOPS)
+        fits = Table(fits.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("u", "w"))).alias("fits")), "fits").df
+        if fits.isEmpty():
+            break
+        start = F.struct(F.col("tops").alias("tops"), F.col("rest").alias("rest"))
+        take = lambda acc, x: F.when(x["w"] <= acc["rest"], F.struct(F.array_append(acc["tops"], x["u"]).alias("tops"), (acc["rest"] - x["w"]).alias("rest"))).otherwise(acc)
+        filled = _same(now, fits, "left").withColumn("x", F.when(F.col("fits").isNull(), start).otherwise(F.aggregate("fits", start, take)))
+        now = Table(filled.withColumn("tops", F.col("x.tops")).withColumn("rest", F.col("x.rest")).drop("x", "fits"), "draws").df
+    left = not_drawn(now).where("abs(w - rest) < rest")
+    nearest = left.groupBy("source").agg(F.min(F.struct(F.abs(F.col("w") - F.col("rest")).alias("d"), "u")).alias("x")).select("source", F.array("x.u").alias("top"))
+    whole = _same(now, nearest, "left").withColumn("tops", F.when(F.col("top").isNull(), F.col("tops")).otherwise(F.concat("tops", "top"))).drop("top")
+    whole = Table(whole, "draws").df
     # tickets and the tree
     begun = F.col("full") + F.when(F.col("block").isNull(), 0).otherwise(1)
     tickets = F.col("passes") * F.col("blocks") + F.when(F.col("room") > 0, F.greatest(begun, F.lit(1))).otherwise(0)
@@ -186,10 +205,10 @@ def draws(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
 
     def drawn(u: Column) -> Column:
         rank = F.get(p["ranks"], _block(u, p["blocks"]).cast("int"))
-        top = F.coalesce(p["top"] == u, F.lit(False))
+        top = F.array_contains(p["tops"], u)
         copies = p["passes"] + (_extra(lambda c: p[c], u) | top).cast("int")
         last = F.coalesce(F.element_at(p["ends"], -1), F.lit(0)) - 1
-        ticket = lambda j: F.least(j * p["blocks"] + rank, last)  # noqa: E731  the row that makes up the rest goes with the last ticket
+        ticket = lambda j: F.least(j * p["blocks"] + rank, last)  # noqa: E731  the rows that make up the rest go with the last ticket
         shard = lambda t: F.size(F.filter(p["ends"], lambda e: e <= t))
         where = F.when(copies > 0, F.transform(F.sequence(F.lit(0), copies - 1), lambda j: shard(ticket(j)))).otherwise(F.array().cast("array<int>"))
         return F.struct(n_words(F.col(text)).alias("size"), p["source_size"].alias("source_size"), p["target"].alias("target"), copies.alias("copies"), where.alias("shards"))
