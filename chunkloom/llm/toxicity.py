@@ -1,9 +1,9 @@
 """Toxicity: a weighted finite-state grammar over clauses, with terms and weights learnt from labels.
 
 A text is read by a cascade of transducers. The lexicon, an automaton over characters, turns words into classes: insult
-and threat (with weights), target, negation, speech. The grammar is the product of small machines over these classes, composed into one
-table: negation weakens what follows it for three words, reported speech what follows it in the clause, and a
-target in the clause strengthens it; a threat counts only with a target. The score of a clause is what its path gives.
+and threat (with weights), target, negation, speech. Two small machines over these classes are composed into one
+table: negation weakens what follows it for three words, reported speech what follows it in the clause. Insult and threat
+are sums over the clause and target is a flag, not machines: a target strengthens the clause, a threat counts only with one. The score of a clause is what its path gives.
 A document's score is a logistic function of its clauses' scores.
 
 Word lists give the machine a start. What is not in them is learnt: words and word beginnings that mark
