@@ -260,7 +260,11 @@ def metadata_lookup(spark, sf_dir):
 
 
 def codec_marker(spark, sf_dir):
-    """Chunks that compression would not make smaller are stored as they are, and marked so by their size."""
+    """The rule that what doesn't get smaller is stored as it is, and marked so by its size, shown on stand-ins.
+
+    Nothing is compressed: 200 bytes stand for the compressed form of chunks of 256 bytes or more, a doubled chunk for
+    that of shorter ones. archive_size and the codec 'brotli' are those of this rule; its SQL equivalent has the same.
+    """
     cut = chunking.chunks(_table(spark, sf_dir, "documents"), ROLL, key="doc_id", content="text", hash_algorithm="sha256", with_data=True)
     stored = codecs.smaller(F.col("data"), F.when(F.length("data") >= 256, F.substring("data", 1, 200)).otherwise(F.concat("data", "data")))
     sized = cut.select("doc_id", "seq", "length", F.length(stored).cast("long").alias("archive_size"))
