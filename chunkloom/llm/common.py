@@ -10,25 +10,38 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Texts are taken from an Arrow batch in slices of about so many bytes, whatever its rows hold.
 SLICE_BYTES = 1 << 20
 #: What separates words, as a class for regular expressions.
 SPACE = r"\x20\x09-\x0D"
+#: The place of null keys, after all others.
+LAST = (1 << 63) - 1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, one is set, but only if they are one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def going(spark: SparkSession, path: str) -> tuple:
+    """The folder at path and its file system, to delete it by; it goes when the application ends, if not before."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(folder)
+    return folder, files
+
+
 def small_batches(spark: SparkSession) -> None:
     """Rows of an Arrow batch may hold very long texts, so batches are kept to about 8 MB, however many rows that is."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
@@ -41,10 +54,8 @@ class Table:
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark).rstrip('/')}/chunkloom-{tag}-{uuid.uuid4().hex}"
         self.schema = df.schema
-        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        self.files = folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         df.write.option("compression", "zstd").parquet(self.path)
-        self.files[1].deleteOnExit(folder)
+        self.folder, self.files = going(self.spark, self.path)
 
     @property
     def df(self) -> DataFrame:
@@ -52,7 +63,7 @@ class Table:
 
     def drop(self) -> None:
         """Delete the files, once nothing that is still to run reads them."""
-        self.files[1].delete(self.files[0], True)
+        self.files.delete(self.folder, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -63,6 +74,25 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def fresh_root(df: DataFrame, root: str, *endings: str) -> str:
+    """root, or root with underscores, so that neither it nor it with any of the endings is a column of the table."""
+    taken = {c.lower() for c in df.columns}
+    while taken & {f"{root}{e}".lower() for e in ("", *endings)}:
+        root += "_"
+    return root
+
+
+def with_place(df: DataFrame, key: str, name: str) -> DataFrame:
+    """The table with a long column `name` that orders rows as the key does, null keys last. Keys that are no whole numbers are numbered in their order."""
+    if isinstance(df.schema[key].dataType, IntegralType):
+        return df.withColumn(name, F.coalesce(F.col(key).cast("long"), F.lit(LAST)))
+    keys = df.select(F.col(key).alias("key")).where("key is not null").distinct().orderBy("key")
+    other = f"{name}_key"
+    numbers = Table(keys.select(F.col("key").alias(other), F.monotonically_increasing_id().alias(name)), "keys").df
+    placed = df.join(numbers, F.col(key) == F.col(other), "left")
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(name, F.lit(LAST)).alias(name))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, however often body names it."""
     return F.transform(F.array(value), body)[0]
@@ -178,8 +208,14 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix64((sums[n:] - sums[:-n]) * powers(_BASE_INVERSE, count))
 
 
-def run_hashes(words: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A hash of the words from start to stop, for spans of any lengths."""
+def run_sums(words: np.ndarray):
+    """A function that gives a hash of the words from start to stop, for spans of any lengths; what it needs of all words is taken once."""
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * powers(_BASE, len(words)), out=sums[1:])
-    return mix64((sums[stops] - sums[starts]) * powers(_BASE_INVERSE, len(words) + 1)[starts])
+    inverse = powers(_BASE_INVERSE, len(words) + 1)
+    return lambda starts, stops: mix64((sums[stops] - sums[starts]) * inverse[starts])
+
+
+def run_hashes(words: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of the words from start to stop, for spans of any lengths."""
+    return run_sums(words)(starts, stops)

@@ -330,17 +330,19 @@ def near_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
             u, v = tree_links(fp.view(np.uint64), np.flatnonzero(new), radius)
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-        held = [np.zeros(0, np.int64)] * 3
+        held: list[list[np.ndarray]] = []  # what has come of one group, which may go on in the next batch
         for batch in batches:
-            held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
-            path, value, fp = held
+            path, value, fp = columns = [c.to_numpy() for c in batch.columns]
             other = np.flatnonzero((path != path[-1]) | (value != value[-1]))
-            cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on in the next batch
-            if cut:
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if held and (cut or held[-1][0][-1] != path[0] or held[-1][1][-1] != value[0]):
+                yield linked(*map(np.concatenate, zip(*held, [c[:cut] for c in columns])))
+                held = []
+            elif cut:
                 yield linked(path[:cut], value[:cut], fp[:cut].copy())
-                held = [h[cut:] for h in held]
-        if len(held[0]):
-            yield linked(held[0], held[1], held[2].copy())
+            held.append([c[cut:] for c in columns])
+        if held:
+            yield linked(*map(np.concatenate, zip(*held)))
 
     numbered = rows.select(F.xxhash64("path").alias("path"), "value", "fp")
     return numbered.repartition("path", "value").sortWithinPartitions("path", "value", "fp").mapInArrow(work, "u long, v long")
@@ -354,40 +356,53 @@ def _classes(rows: DataFrame, radius: int) -> DataFrame:
     return linked.join(linked.groupBy("root").agg(F.min("first").alias("component")), "root").select("fp", "root", "component")
 
 
-def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, similarity: float | None = None, seed: int = 42) -> DataFrame:
     """(key, fp long, component): each row with the smallest key among all rows that links lead to.
 
     Two rows link if their fingerprints differ in `radius` bits or fewer; all texts without words have
-    fingerprint zero and link like others. Rows come back one for one. Repeated keys are separate
+    fingerprint zero and link like others. With a similarity, rows link if they share so much of their different shingles (Jaccard),
+    whatever their fingerprints; all texts without words link. Rows come back one for one. Repeated keys are separate
     rows; a null key is never the smallest unless the component has no other (then it is null). Equal
-    fingerprints are merged first, so copies cost one row however many there are.
+    fingerprints (or sets of shingles) are merged first, so copies cost one row however many there are.
     """
     small_batches(df.sparkSession)
+    if similarity is not None:
+        named = _sketched(df, key, text, shingle, seed)
+        found = _similar(df, named, key, text, shingle, radius, similarity, seed).drop("root")
+        return named.select("key", "fp", "node").join(found, "node").select(F.col("key").alias(key), "fp", "component")
     rows = Table(df.select(F.col(key).alias("key"), fingerprint(shingle, seed)(text).alias("fp")), "fingerprints").df
     return rows.join(_classes(rows, radius).drop("root"), "fp").select(F.col("key").alias(key), "fp", "component")
 
 
-def _same_shingles(pairs: DataFrame, df: DataFrame, nodes: DataFrame, key: str, text: str, shingle: int, similarity: float, seed: int) -> DataFrame:
-    """The pairs (u, v) of nodes that share so much of their shingles, counted on the shingles themselves."""
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    where = nodes.join(asked, "node", "left_semi").select("node", F.col("place.key").alias("key_"), F.col("place.text").alias("text_"))
+def _sketched(df: DataFrame, key: str, text: str, shingle: int, seed: int) -> DataFrame:
+    rows = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("text"), sketch(shingle, seed)(text).alias("s"))
+    return Table(rows.select("key", "text", F.col("s.hash").alias("node"), "s.n", "s.fp", "s.bands"), "sketches").df
+
+
+def _sets(df: DataFrame, nodes: DataFrame, wanted: DataFrame, key: str, text: str, shingle: int, seed: int) -> DataFrame:
+    """(node, set): the different shingles of the wanted nodes, taken from one text of each."""
+    where = nodes.join(wanted.distinct(), "node", "left_semi").select("node", F.col("place.key").alias("key_"), F.col("place.text").alias("text_"))
     texts = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     found = where.join(texts, F.col("key_").eqNullSafe(F.col("key")) & (F.col("text_") == F.col("hash"))).dropDuplicates(["node"])
-    sets = Table(found.select("node", shingle_set(shingle, seed)("text").alias("set")), "sets")
-    u, v = (sets.df.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "uv")
+    return Table(found.select("node", shingle_set(shingle, seed)("text").alias("set")), "sets").df
+
+
+def _same_shingles(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes that share so much of their shingles, counted on the shingles themselves."""
+    u, v = (sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "uv")
     shared = F.size(F.array_intersect("set_u", "set_v")).cast("long")
     # in whole numbers where similarity is a decimal of up to six digits
     enough = shared * 1_000_000 >= (F.size("set_u") + F.size("set_v") - shared) * F.lit(round(similarity * 1_000_000)).cast("long")
-    out = Table(pairs.join(u, "u").join(v, "v").where(enough).select("u", "v"), "similar")
-    sets.drop()
-    return out.df
+    return Table(pairs.join(u, "u").join(v, "v").where(enough).select("u", "v"), "similar").df
 
 
 def _similar(df: DataFrame, rows: DataFrame, key: str, text: str, shingle: int, radius: int, similarity: float, seed: int) -> DataFrame:
     """(node, root, component) of rows (key, text, node, n, fp, bands): what links of at least that similarity join.
 
     Candidates are the links of SimHash within the radius, and texts that agree in a MinHash band; only what the shingles
-    themselves confirm is a link. Of a band, all are first held against one; then each against each of those that aren't joined yet.
+    themselves confirm is a link. A band isn't searched pair by pair: its members are held against one of them, those that
+    aren't joined to it yet in the next round against another, until a round finds no link. First comes the member that
+    meets most others in all its bands, as the text that copies were made from does.
     """
     least = F.min(F.struct("key", "text"))
     nodes = rows.groupBy("node").agg(F.min("key").alias("first"), least.alias("place"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
@@ -397,30 +412,37 @@ def _similar(df: DataFrame, rows: DataFrame, key: str, text: str, shingle: int,
     tops = [fps.select(F.col("fp").alias(x), F.col("top").alias(f"top_{x}")) for x in "uv"]
     by_bits = by_bits.join(tops[0], "u").join(tops[1], "v").select(F.col("top_u").alias("u"), F.col("top_v").alias("v"))
     equal_bits = nodes.where("n > 0").join(fps, "fp").select(F.col("node").alias("u"), F.col("top").alias("v"))
-    banded = nodes.select("node", "n", F.explode("bands").alias("band"))
-    chosen = banded.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "node").alias("h"), "node")).alias("x"), F.min("node").alias("a"), F.max("node").alias("b"))
-    chosen = chosen.where("a < b").select("band", F.col("x.node").alias("top"))
-    banded = Table(banded.join(chosen, "band"), "bands").df  # only bands of several
-    stars = banded.select(F.col("node").alias("u"), F.col("top").alias("v"))
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    check = lambda pairs: _same_shingles(pairs, df, nodes, key, text, shingle, similarity, seed)
-    tried = Table(ordered(by_bits.unionByName(equal_bits).unionByName(stars)), "pairs").df
-    links = check(tried)
-    roots = components(links).df
-    # what agrees in a band and isn't joined yet
-    named = banded.join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
-    open_ = named.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band")
-    named = Table(named.join(open_, "band", "left_semi"), "open").df
-    a, b = (named.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root")]) for x in "uv")
-    others = a.join(b, "band").where("node_u > node_v and root_u <> root_v").where(F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v") - 1e-6)
-    others = others.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    others = Table(others, "pairs").df
-    if not others.isEmpty():
-        links = links.unionByName(check(others))
-        roots = components(links).df
+    tried = Table(ordered(by_bits.unionByName(equal_bits)), "pairs").df
+    banded = nodes.select("node", "n", F.explode("bands").alias("band"))
+    several = Table(banded.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "several").df
+    banded = Table(banded.join(several, "band"), "bands").df
+    banded = banded.join(banded.groupBy("node").agg(F.sum("m").alias("meets")), "node").drop("m")
+    sets = _sets(df, nodes, banded.select("node").unionByName(tried.select(F.explode(F.array("u", "v")).alias("node"))), key, text, shingle, seed)
+    links = _same_shingles(tried, sets, similarity)
+    roots, turn = components(links).df, 0
+    while True:
+        named = Table(banded.join(roots, "node", "left").select("band", "node", "n", "meets", F.coalesce("root", "node").alias("root")), "named")
+        rank = F.xxhash64(F.lit(turn), "band", "node") if turn else F.col("meets")
+        centre = F.max(F.struct(rank.alias("rank"), "node", "n", "root")).alias("c")
+        centres = named.df.groupBy("band").agg(centre, F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band", "c")
+        centres = Table(centres, "centres")  # so that both sides of the join are exchanged anew, and a hot band can be split
+        alike = F.least("n", "c.n") >= similarity * F.greatest("n", "c.n") - 1e-6
+        pairs = named.df.join(centres.df, "band").where((F.col("root") != F.col("c.root")) & alike).select(F.col("node").alias("u"), F.col("c.node").alias("v"))
+        pairs = Table(ordered(pairs).join(tried, ["u", "v"], "left_anti"), "pairs").df
+        new = _same_shingles(pairs, sets, similarity)
+        named.drop()
+        centres.drop()
+        turn += 1
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            roots = components(links).df
+        elif turn > 1:
+            break
+        tried = tried.unionByName(pairs)
     linked = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     return linked.join(linked.groupBy("root").agg(F.min("first").alias("component")), "root").select("node", "root", "component")
 
@@ -428,8 +450,7 @@ def _similar(df: DataFrame, rows: DataFrame, key: str, text: str, shingle: int,
 def drop_near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, similarity: float | None = None, seed: int = 42) -> DataFrame:
     """One row of each component of near_duplicates: that of the smallest key (all columns as they were).
 
-    With a similarity, rows link if they share so much of their different shingles (Jaccard), whatever their fingerprints;
-    all texts without words link. Where some keys are null or repeated, the row with the smallest key (null last), then
+    Where some keys are null or repeated, the row with the smallest key (null last), then
     the smallest hash of its text stays, and one of several equal rows.
     """
     small_batches(df.sparkSession)
@@ -440,8 +461,7 @@ def drop_near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "tex
         named = rows.withColumnRenamed("fp", "node")
     else:
         node = lambda t: sketch(shingle, seed)(t)["hash"]
-        sketched = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("text"), sketch(shingle, seed)(text).alias("s"))
-        named = Table(sketched.select("key", "text", F.col("s.hash").alias("node"), "s.n", "s.fp", "s.bands"), "sketches").df
+        named = _sketched(df, key, text, shingle, seed)
         found = lambda: _similar(df, named, key, text, shingle, radius, similarity, seed)
     if named.agg(F.count("*") == F.count_distinct("key")).first()[0]:
         keep = named.select("key", "node").join(found(), "node").where("key = component").select(F.col("key").alias(key))

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline as cp
+from chunkloom.llm import simhash
 
 
 def shingles(text):
@@ -52,3 +53,60 @@ def test_pairs_at_the_similarity_go_and_others_stay(spark):
     assert sorted(r.doc_id for r in cp.near_dedup(spark, docs, "").collect()) == want
     odd = docs.union(docs.where("doc_id < 9"))  # repeated keys
     assert sorted(r.doc_id for r in cp.near_dedup(spark, odd, "").collect()) == want
+
+
+def test_recall_by_band_of_similarity_in_a_hot_group(spark, capsys):
+    """Hundreds of copies of one text, most of them less alike to each other than to it; links found, by true similarity."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghiklmnorstu", k=rng.randrange(2, 9))) for _ in range(3000)]
+    rows = [rng.choices(words, k=300) for _ in range(100)]
+    base = rng.choices(words, k=300)
+    for k in range(300):
+        copy = list(base)
+        for i in rng.sample(range(300), rng.randrange(2, 18)):
+            copy[i] = rng.choice(words)
+        rows.append(copy)
+    for k in range(60):  # pairs of their own, too
+        copy = list(rows[k])
+        for i in rng.sample(range(300), rng.randrange(1, 8)):
+            copy[i] = rng.choice(words)
+        rows.append(copy)
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    want, pairs = kept(rows)
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    found = simhash.near_duplicates(docs, shingle=cp.SHINGLE, radius=cp.RADIUS, similarity=cp.SIMILARITY)
+    part = {r.doc_id: r.component for r in found.collect()}
+    with capsys.disabled():
+        print()
+        for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 1.01)):
+            linked = [part[a] == part[b] for a, b, j in pairs if low <= j < high]
+            print(f"similarity {low} to {min(high, 1)}: {sum(linked)} of {len(linked)} pairs in one group")
+            assert sum(linked) >= 0.99 * len(linked)
+    assert set(want) <= set(part.values()) and len(set(part.values())) <= len(want) + 2  # no unrelated pair in one group
+    assert {r.doc_id for r in cp.near_dedup(spark, docs, "").collect()} == set(part.values())
+
+
+def test_second_level_of_shards(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 20)  # a shard beyond it is dealt anew
+    rng = random.Random(3)
+    low = [rng.getrandbits(16) for _ in range(3)]
+    fps = sorted({(rng.getrandbits(48) << 16 | rng.choice(low)) - (1 << 63) for _ in range(300)})
+    fps = sorted({f ^ (1 << rng.randrange(62)) ^ (1 << rng.randrange(62)) for f in fps[:60]} | set(fps))
+    links = simhash.near_links(spark.createDataFrame([(f,) for f in fps], "fp long"), 3).collect()
+    part = {f: f for f in fps}
+
+    def top(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for r in links:
+        a, b = top(r.u), top(r.v)
+        part[max(a, b)] = min(a, b)
+    got = {f: top(f) for f in fps}
+    part = {f: f for f in fps}
+    for a, b in combinations(fps, 2):
+        if bin((a ^ b) & (1 << 64) - 1).count("1") <= 3 and top(a) != top(b):
+            x, y = sorted((top(a), top(b)))
+            part[y] = x
+    assert got == {f: top(f) for f in fps}
