@@ -8,7 +8,8 @@ from chunkloom.config import KIB, MIB
 
 def human_size(n: Column) -> Column:
     """More than 1 MiB in MiB, more than 1 KiB in KiB, with the bytes in brackets; else bytes. Null stays null."""
-    scaled = lambda unit, name: F.format_string(f"%.1f {name} (%d bytes)", n.cast("double") / unit, n)
+    # halves go to the even digit, which format_string alone would round up
+    scaled = lambda unit, name: F.format_string(f"%.1f {name} (%d bytes)", F.bround(n.cast("double") / unit, 1), n)
     return F.when(n > MIB, scaled(MIB, "MiB")).when(n > KIB, scaled(KIB, "KiB")).when(n.isNotNull(), F.format_string("%d bytes", n))
 
 
