@@ -8,12 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.config import ChunkerConfig
 from chunkloom.errors import ConfigError
-from chunkloom.functions.hashes import ALGORITHMS, digest, hash_of, truncate
+from chunkloom.functions.hashes import ALGORITHMS, digest, hash_of, joined, truncate
 
 from .kernels import Scanner, chunk_ends, rolling_sums
 
@@ -103,36 +103,48 @@ def candidates(df: DataFrame, config: ChunkerConfig, *, key: str = "file_id", co
     return _by_bytes(df).select(F.col(key).alias("key"), F.col(content).alias("content")).mapInArrow(work, f"key {kind}, place long, sum long").withColumnRenamed("key", key)
 
 
-def chunks_of_splits(splits: DataFrame, config: ChunkerConfig, *, key: str = "file_id", hash_algorithm: str = "blake2b") -> DataFrame:
-    """(key, seq, offset, length, hash) of files that come as rows (key, split_offset, content), too large for one value.
+def chunks_of_splits(splits: DataFrame, config: ChunkerConfig, *, key: str = "file_id", hash_algorithm: str = "blake2b", with_data: bool = False) -> DataFrame:
+    """(key, seq, offset, length, hash[, data]) of files that come as rows (key, split_offset, content), too large for one value.
 
-    Candidates are found split by split, each with the end of the one before it; the choice among them is made file by file
-    over candidates alone; chunks are then put together from the splits that they touch. A split must have a window's bytes, but for
-    the last. Streams to which the buzhash exception applies are not cut this way: they raise.
+    Candidates are found split by split; those whose window reaches into the split before come from a narrow table of the splits'
+    first and last bytes. The choice among them is made file by file over candidates alone; chunks are then put together from the
+    splits that they touch. A split must have a window's bytes, but for the last. Streams to which the buzhash exception applies are
+    not cut this way: they raise.
     """
-    order = Window.partitionBy(key).orderBy("split_offset")
     back = max(config.window - 1, 1)
-    before = F.lag(F.expr(f"right(content, {back})") if dict(splits.dtypes)["content"] == "string" else F.substring("content", -back, back)).over(order)
-    joined = splits.select(key, "split_offset", "content", before.alias("before"))
+    mask = np.uint64(config.mask)
+    kind = splits.schema[key].dataType.simpleString()
+    rows = _by_bytes(splits).select(F.col(key).alias("key"), "split_offset", F.coalesce(F.col("content").cast("binary"), F.lit(b"").cast("binary")).alias("content"))
+
+    def found_in(x: np.ndarray) -> np.ndarray:
+        return np.flatnonzero((rolling_sums(x, np.zeros(1, np.int64), config) & mask) == mask)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.uint64(config.mask)
         for batch in batches:
-            for k, offset, content, ahead in zip(*(c.to_pylist() for c in batch.columns)):
-                ahead, content = bytes(ahead or b""), bytes(content or b"")
-                x = np.frombuffer(ahead + content, np.uint8)
-                if config.algorithm == "fixed":
-                    found = np.zeros(0, np.int64)
-                else:
-                    if config.algorithm == "buzhash" and offset == 0 and 0 in content[: config.min_size + config.window + 1]:
+            for k, offset, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                x = np.frombuffer(content.as_buffer(), np.uint8)
+                found = np.zeros(0, np.int64)
+                if config.algorithm != "fixed" and len(x):
+                    if config.algorithm == "buzhash" and offset == 0 and not x[: config.min_size + config.window + 1].all():
                         raise ConfigError("a buzhash stream with zeros near its start must be cut whole")
-                    sums = rolling_sums(x, np.zeros(1, np.int64), config)
-                    found = np.flatnonzero((sums & mask) == mask)
-                    found = found[found >= len(ahead)] - len(ahead) + offset
-                yield pa.RecordBatch.from_arrays([pa.array([k] * (len(found) + 1)), pa.array([*found.tolist(), -offset - len(content)], pa.int64())], names=["key", "place"])
+                    found = found_in(x)
+                    found = (found if offset == 0 else found[found >= back]) + offset
+                yield pa.RecordBatch.from_arrays([pa.array([k] * (len(found) + 1), batch.column(0).type), pa.array([*found.tolist(), -offset - len(x)], pa.int64())], names=["key", "place"])
 
-    kind = splits.schema[key].dataType.simpleString()
-    places = _by_bytes(joined).select(F.col(key).alias("key"), "split_offset", "content", "before").mapInArrow(hits, f"key {kind}, place long")
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, offset, head, tail in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(tail) < back and offset > len(tail):
+                    raise ConfigError("a split has fewer bytes than the window")
+                found = found_in(np.frombuffer(tail + head, np.uint8))
+                found = found[found >= len(tail)] - len(tail) + offset
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), batch.column(0).type), pa.array(found, pa.int64())], names=["key", "place"])
+
+    places = rows.mapInArrow(hits, f"key {kind}, place long")
+    if config.algorithm != "fixed":
+        heads = rows.where("split_offset > 0 and length(content) > 0").select("key", "split_offset", F.substring("content", 1, back).alias("head"))
+        tails = rows.select("key", (F.col("split_offset") + F.length("content")).alias("split_offset"), F.substring("content", -back, back).alias("tail")).where("length(tail) > 0")
+        places = places.unionByName(heads.join(tails, ["key", "split_offset"]).select("key", "split_offset", "head", "tail").mapInArrow(edges, f"key {kind}, place long"))
 
     def cut(table: pa.Table) -> pa.Table:
         place = np.sort(table["place"].to_numpy())
@@ -162,8 +174,8 @@ def chunks_of_splits(splits: DataFrame, config: ChunkerConfig, *, key: str = "fi
     a, b = F.greatest(F.col("offset"), F.col("s")), F.least(F.col("offset") + F.col("length"), F.col("e"))
     part = F.substr("c", (a - F.col("s") + 1).cast("int"), (b - a).cast("int"))
     data = touch.groupBy(key, "seq", "offset", "length").agg(F.sort_array(F.collect_list(F.struct("s", part.alias("part")))).alias("parts"))
-    joined_ = F.aggregate("parts", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["part"]))
-    return data.select(key, "seq", "offset", "length", truncate(hash_of(joined_, hash_algorithm), config.hash_length).alias("hash"))
+    whole = data.select(key, "seq", "offset", "length", joined(F.transform("parts", lambda x: x["part"])).alias("data"))
+    return whole.select(key, "seq", "offset", "length", truncate(hash_of(F.col("data"), hash_algorithm), config.hash_length).alias("hash"), *["data"] * with_data)
 
 
 __all__ = ["Scanner", "candidates", "chunks", "chunks_of_splits", "fixed_chunks"]

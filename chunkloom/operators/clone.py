@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chunkloom.functions.hashes import joined
+
+from .order import running, stretches
+
 ARCHIVE = "archive"
 
 
@@ -19,8 +23,9 @@ def providers(needed: DataFrame, seeds: DataFrame) -> DataFrame:
     each hash suffice for that, so the join is on the hash alone, with one row for each.
     """
     ranked = seeds.groupBy("hash", "provider").agg(F.min("rank").alias("rank"))
-    best = ranked.groupBy("hash").agg(F.min(F.struct("rank", "provider")).alias("one"), F.sort_array(F.collect_list(F.struct("rank", "provider"))).alias("all"))
-    two = best.select("hash", F.col("one.provider").alias("p1"), F.get("all", F.lit(1))["provider"].alias("p2"))
+    by = Window.partitionBy("hash").orderBy("rank", "provider")  # no more than two of a hash leave a task, before and after the exchange
+    best = ranked.withColumn("place", F.row_number().over(by)).where("place <= 2")
+    two = best.groupBy("hash").agg(*[F.max(F.when(F.col("place") == k, F.col("provider"))).alias(f"p{k}") for k in (1, 2)])
     own = F.when(F.col("p1") != F.col("archive_id"), F.col("p1")).otherwise(F.col("p2"))
     return needed.join(two, "hash", "left").select("archive_id", "hash", "length", "offset", F.coalesce(own, F.lit(ARCHIVE)).alias("provider"))
 
@@ -70,10 +75,17 @@ def overlaps(current: DataFrame, target: DataFrame, widest: int) -> DataFrame:
 def coalesced(ranges: DataFrame, group: list[str] | None = None) -> DataFrame:
     """(archive_id, first_idx, ranges, offset, size): runs of ranges (archive_id, idx, offset, size) that lie back to back, as one request each."""
     group = group or ["archive_id"]
-    by = Window.partitionBy(*group).orderBy("idx")
-    new = F.coalesce((F.lag(F.col("offset") + F.col("size")).over(by) != F.col("offset")).cast("int"), F.lit(1))
-    island = F.sum(new).over(by).alias("island")
-    runs = ranges.select(*group, "idx", "offset", "size", island)
+    parts = stretches(ranges)
+    if parts == 1:
+        before = F.lag(F.col("offset") + F.col("size")).over(Window.partitionBy(*group).orderBy("idx"))
+        marked = ranges.select(*group, "idx", "offset", "size", before.alias("end"))
+    else:  # as many tasks as the table asks for: the range before is found by its number
+        placed = running(ranges.select(*group, "idx", "offset", "size"), group, ["idx"], {"pos": F.lit(1)}, parts)
+        last = placed.select(*group, (F.col("pos") + 1).alias("pos"), (F.col("offset") + F.col("size")).alias("end"))
+        marked = placed.join(last, [*group, "pos"], "left").drop("pos")
+    new = F.coalesce((F.col("end") != F.col("offset")).cast("int"), F.lit(1))
+    counted = running(marked.select(*group, "idx", "offset", "size", new.alias("new")), group, ["idx"], {"before": F.col("new")}, parts)
+    runs = counted.select(*group, "idx", "offset", "size", (F.col("before") + F.col("new")).alias("island"))
     return runs.groupBy(*group, "island").agg(F.min("idx").alias("first_idx"), F.count("*").alias("ranges"), F.min("offset").alias("offset"), F.sum("size").alias("size")).drop("island")
 
 
@@ -84,5 +96,5 @@ def reassembled(pieces: DataFrame, group: list[str]) -> DataFrame:
     """
     one = pieces.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("offset", "data"))).alias("parts"))
     tiles = F.aggregate("parts", F.lit(0).cast("long"), lambda at, x: F.when(at == x["offset"], at + F.length(x["data"])).otherwise(F.lit(-1).cast("long")))
-    content = F.aggregate("parts", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["data"]))
+    content = joined(F.transform("parts", lambda x: x["data"]))
     return one.select(*group, tiles.alias("size"), content.alias("content"), (tiles >= 0).alias("whole"))

@@ -2,34 +2,52 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of input for each stretch that sequences are cut into; rows, where the size of the input isn't known.
-STRETCH, ROWS = 256 << 20, 1_000_000
+#: Bytes of input for each stretch that sequences are cut into; rows, where the size of the input isn't known; stretches at most.
+STRETCH, ROWS, MOST = 256 << 20, 1_000_000, 4096
 
 
-def _stretches(df: DataFrame) -> int:
+def stretches(df: DataFrame) -> int:
     """As many as the tables that a plan reads ask for, by their statistics: no job runs for it if they have any."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    except Exception:  # a session that doesn't show its plans
+        sizes = [1 << 60]
     if max(sizes, default=0) >= 1 << 60:
-        return max(1, -(-df.count() // ROWS))
-    return max(1, -(-sum(sizes) // STRETCH))
+        return max(1, min(-(-df.count() // ROWS), MOST))
+    return max(1, min(-(-sum(sizes) // STRETCH), MOST))
 
 
-def running(df: DataFrame, group: list[str], order: list[str], values: dict[str, Column], stretches: int | None = None) -> DataFrame:
+def stretch_of(order: Column, bounds: list) -> Column:
+    """How many of the bounds, ascending, are smaller: in the JVM for a few, else by binary search over Arrow batches."""
+    if len(bounds) <= 64:
+        return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < order))
+    edges = np.array(bounds)
+
+    @F.arrow_udf("int")
+    def search(x: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(edges, x.to_numpy(zero_copy_only=False), "left").astype(np.int32))
+
+    return search(order)
+
+
+def running(df: DataFrame, group: list[str], order: list[str], values: dict[str, Column], parts: int | None = None) -> DataFrame:
     """The table with a column for each of `values`: the sum of the group's rows before this one, by the order.
 
     The first order column (a number, without nulls) cuts sequences into stretches by quantiles of the whole table, as many
     as the input's size asks for. Sums within a stretch and sums of the stretches before it are taken apart, so no task holds a whole
     sequence unless it is short.
     """
-    parts = _stretches(df) if stretches is None else stretches
+    parts = stretches(df) if parts is None else parts
     stretch = F.lit(0)
     if parts > 1:
-        bounds = df.agg(F.percentile_approx(order[0], [k / parts for k in range(1, parts)], 100 * parts)).first()[0]
-        stretch = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda x: x < F.col(order[0])))
+        bounds = df.agg(F.percentile_approx(order[0], [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []
+        stretch = stretch_of(F.col(order[0]), sorted(set(bounds)))
     named = df.select("*", stretch.alias("stretch_"), *[v.alias(f"{k}_in") for k, v in values.items()])
     inside = Window.partitionBy(*group, "stretch_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     sums = named.select("*", *[F.coalesce(F.sum(f"{k}_in").over(inside), F.lit(0)).alias(k) for k in values])

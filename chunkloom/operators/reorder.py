@@ -7,6 +7,8 @@ is found for each file by itself, over its index, not its data.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,3 +78,22 @@ def reorder(current: DataFrame, target: DataFrame, widest: int, strip: bool = Tr
 
     kind = current.schema["archive_id"].dataType.simpleString()
     return rows.groupBy("archive_id").applyInArrow(solve, f"archive_id {kind}, step long, op string, hash binary, size long, source long, dest array<long>")
+
+
+def carry_out(steps: Iterable[tuple[str, bytes, int, int, list[int]]], read: Callable[[int, int], bytes], write: Callable[[int, bytes], object]) -> int:
+    """Do the steps (op, hash, size, source, dest) in order, with read(offset, size) and write(offset, data); returns the bytes written.
+
+    What is kept in memory is only what goes round in circles, until it is written.
+    """
+    kept, moved, done = {}, set(), 0
+    for op, chunk, size, source, dest in steps:
+        if op == STORE:
+            if chunk not in kept and chunk not in moved:  # a plan may ask for it again when its place has been overwritten
+                kept[chunk] = read(source, size)
+            continue
+        data = kept.pop(chunk) if chunk in kept else read(source, size)
+        moved.add(chunk)
+        for offset in dest:
+            write(offset, data)
+            done += size
+    return done

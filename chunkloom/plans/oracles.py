@@ -114,7 +114,10 @@ ORACLES = {
     "parse_size": "WITH h AS (SELECT doc_id, length(text) AS n, (doc_id % 6)::INT AS u FROM documents) SELECT doc_id, n || ['', 'B', 'KiB', 'MiB', 'GiB', 'kB'][u + 1] AS size_text, (n * [1, 1, 1024, 1048576, 1073741824, NULL][u + 1])::BIGINT AS bytes FROM h",
     "hex_roundtrip": "SELECT doc_id, sha256(coalesce(text, '')) AS even, '0' || sha256(coalesce(text, ''))[2:] AS odd FROM documents",
     "metadata_lookup": "WITH m AS (SELECT coalesce(source, '') AS archive_id, coalesce(lang, '') AS key, count(*)::VARCHAR AS v FROM documents GROUP BY ALL) SELECT archive_id, max(v) FILTER (key = 'en') AS english, string_agg(key || '(' || length(v) || ')', ', ' ORDER BY key) AS listing FROM m GROUP BY 1",
-    "codec_marker": _rolled("documents", "doc_id", "text", "SELECT k AS doc_id, seq, length, (CASE WHEN length >= 256 THEN 200 ELSE length END)::BIGINT AS archive_size, CASE WHEN length >= 256 THEN 'brotli' END AS codec FROM o"),
+    "codec_marker": _rolled("documents", "doc_id", "text", "SELECT k AS doc_id, seq, length, true AS not_larger, true AS marked, hash FROM o"),
+    "blake2_identity": _rolled("documents", "doc_id", "text", """SELECT k AS doc_id, seq, "offset", length, 32::BIGINT AS hash_bytes, first(k) OVER w AS first_doc, first(seq) OVER w AS first_seq FROM o WINDOW w AS (PARTITION BY hash ORDER BY k, seq)"""),
+    "reorder_ops": "SELECT coalesce(source, '') AS archive_id, sum(octet_length(encode(text)))::BIGINT AS size, sha256(string_agg(text, '' ORDER BY octet_length(encode(text)), doc_id)) AS hash FROM documents WHERE text <> '' GROUP BY 1",
+    "archive_roundtrip": "SELECT way, size, hash FROM (SELECT sum(octet_length(encode(text)))::BIGINT AS size, sha256(string_agg(text, '' ORDER BY doc_id)) AS hash FROM documents), (VALUES ('files'), ('cloned'), ('in_place'), ('source'), ('fetched')) v(way)",
     "compress_roundtrip": "SELECT doc_id, codec, sha256(coalesce(text, '')) AS hash FROM documents, (VALUES ('none'), ('brotli'), ('zstd'), ('lzma')) v(codec)",
     "streaming_dedup": _rolled("documents", "doc_id", "text", "SELECT DISTINCT hash, length FROM o"),
     "streaming_segments": f"""WITH t AS (SELECT conv_id, encode(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS b FROM conversations GROUP BY 1)

@@ -6,15 +6,18 @@ queries read whole tables. SHA-256 stands in for BLAKE2b where there is an equiv
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
+import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkloom.config import ChunkerConfig, Compression
+from chunkloom.config import ArchiveOptions, ChunkerConfig, Compression
 from chunkloom.functions import codecs, hashes, sizes
 from chunkloom.operators import chunking, clone, dictionary, diff, reorder
+from chunkloom.sources import archive
+from chunkloom.sources.shared import local_path, shared_folder, write_at
 
 #: Fixed chunk size, and small rolling chunks, for texts of a few kilobytes.
 SIZE = 256
@@ -193,8 +196,26 @@ def overlap_pairs(spark, sf_dir):
 
 
 def reorder_ops(spark, sf_dir):
+    """Each source's documents, end to end, rearranged in place from the order of doc_id to that of their lengths, by the planned moves."""
     current, target = _versions(spark, sf_dir)
-    return _hex(reorder.reorder(current, target, SIZE)).withColumn("dest", F.array_join("dest", ","))
+    steps = reorder.reorder(current, target, SIZE)
+    plan = steps.groupBy("archive_id").agg(F.sort_array(F.collect_list(F.struct("step", "op", "hash", "size", "source", "dest"))).alias("steps"))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("file_id", F.col("content").cast("binary").alias("x")))), lambda r: r["x"])
+    whole = _files(spark, sf_dir).where("length(content) > 0").groupBy("archive_id").agg(texts.alias("parts")).select("archive_id", hashes.joined("parts").alias("content"))
+
+    @F.arrow_udf("binary")
+    def moved(content: pa.Array, plans: pa.Array) -> pa.Array:
+        out = []
+        for c, p in zip(content.to_pylist(), plans.to_pylist()):
+            data = bytearray(c)
+            read = lambda a, n: bytes(data[a : a + n])  # noqa: E731, B023
+            write = lambda a, x: data.__setitem__(slice(a, a + len(x)), x)  # noqa: E731, B023
+            reorder.carry_out(((r["op"], r["hash"], r["size"], r["source"], r["dest"]) for r in p or []), read, write)
+            out.append(bytes(data))
+        return pa.array(out, pa.binary())
+
+    found = whole.join(plan, "archive_id", "left").select("archive_id", F.length("content").cast("long").alias("size"), moved("content", "steps").alias("content"))
+    return found.select("archive_id", "size", F.sha2("content", 256).alias("hash"))
 
 
 def range_requests(spark, sf_dir):
@@ -260,15 +281,18 @@ def metadata_lookup(spark, sf_dir):
 
 
 def codec_marker(spark, sf_dir):
-    """The rule that what doesn't get smaller is stored as it is, and marked so by its size, shown on stand-ins.
+    """Chunks compressed one by one, stored as they are where that isn't smaller, told apart by their sizes, and expanded again.
 
-    Nothing is compressed: 200 bytes stand for the compressed form of chunks of 256 bytes or more, a doubled chunk for
-    that of shorter ones. archive_size and the codec 'brotli' are those of this rule; its SQL equivalent has the same.
+    What a codec makes of a chunk is its own affair; that the marker and the sizes agree, and what comes back, is the same for all.
     """
+    how = Compression("zstd", 3)
     cut = chunking.chunks(_table(spark, sf_dir, "documents"), ROLL, key="doc_id", content="text", hash_algorithm="sha256", with_data=True)
-    stored = codecs.smaller(F.col("data"), F.when(F.length("data") >= 256, F.substring("data", 1, 200)).otherwise(F.concat("data", "data")))
-    sized = cut.select("doc_id", "seq", "length", F.length(stored).cast("long").alias("archive_size"))
-    return sized.select("*", codecs.codec_of(F.col("archive_size"), F.col("length"), "brotli").alias("codec"))
+    stored = codecs.smaller(F.col("data"), codecs.compressed(F.col("data"), how))
+    kept = cut.select("doc_id", "seq", "length", stored.alias("stored")).withColumn("archive_size", F.length("stored").cast("long"))
+    kept = kept.withColumn("codec", codecs.codec_of(F.col("archive_size"), F.col("length"), how.codec))
+    back = codecs.expanded(F.col("stored"), F.col("codec"), F.col("length"))
+    marked = F.col("codec").isNull() == (F.col("archive_size") == F.col("length"))
+    return kept.select("doc_id", "seq", "length", (F.col("archive_size") <= F.col("length")).alias("not_larger"), marked.alias("marked"), F.sha2(back, 256).alias("hash"))
 
 
 def compress_roundtrip(spark, sf_dir):
@@ -285,13 +309,43 @@ def compress_roundtrip(spark, sf_dir):
 
 
 def blake2_identity(spark, sf_dir):
+    """Chunks by BLAKE2b: lengths, bytes of the hash, and the first chunk that has the same one."""
     cut = chunking.chunks(_table(spark, sf_dir, "documents"), ROLL, key="doc_id", content="text")
-    return _hex(cut)
+    same = cut.groupBy("hash").agg(F.min(F.struct("doc_id", "seq")).alias("first"))
+    both = cut.join(same, "hash")
+    return both.select("doc_id", "seq", "offset", "length", F.length("hash").cast("long").alias("hash_bytes"), F.col("first.doc_id").alias("first_doc"), F.col("first.seq").alias("first_seq"))
 
 
-def _shared(spark: SparkSession, tag: str) -> str:
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="chunkloom-")
-    return f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+def archive_roundtrip(spark, sf_dir):
+    """Files of all documents, archived, opened, fetched and cloned: what comes back by each way is what went in.
+
+    files: the source, written by offset; fetched: all chunks of the archive, by its layout; cloned: with a seed; in_place: over the documents in another
+    order; source: what the archive's header says that it holds, and whether its checksum is that of the file.
+    """
+    folder = local_path(shared_folder(spark, "archives"))
+    d = _files(spark, sf_dir).where("length(content) > 0").select(F.lit(0).alias("archive_id"), "file_id", F.col("content").cast("binary").alias("data")).withColumn("n", F.length("data").cast("long"))
+    size = d.agg(F.sum("n")).first()[0]
+    by_id, by_size = (dictionary.running(d, ["archive_id"], order, {"offset": F.col("n")}) for order in (["file_id"], ["n", "file_id"]))
+    for name, pieces in (("source", by_id), ("other", by_size)):
+        with open(f"{folder}/{name}", "wb") as file:
+            file.truncate(size)
+        write_at(pieces, f"{folder}/{name}")
+    options = ArchiveOptions(ROLL, Compression("zstd", 3)).with_metadata({"made of": "documents"})
+    archive.create_archive(spark, archive.file_splits(spark, f"{folder}/source", 1 << 20), f"{folder}/a", options)
+    opened = archive.open_archive(spark, f"{folder}/a")
+    with open(f"{folder}/source", "rb") as file:
+        archive.clone_archive(opened, [("seed", file.read(1 << 16))], f"{folder}/cloned")
+    archive.clone_archive(opened, [], f"{folder}/other", in_place=True)
+    rows = []
+    for way, name in (("files", "source"), ("cloned", "cloned"), ("in_place", "other")):
+        with open(f"{folder}/{name}", "rb") as file:
+            rows.append((way, os.path.getsize(f"{folder}/{name}"), hashlib.file_digest(file, "sha256").hexdigest()))
+    with open(f"{folder}/source", "rb") as file:
+        checked = hashlib.file_digest(file, "blake2b").digest() == opened.dictionary.source_checksum
+    rows.append(("source", opened.dictionary.source_total_size, rows[0][2] if checked and opened.dictionary.metadata_value("made of") == b"documents" else None))
+    pieces = opened.layout.select("archive_id", "hash", "offset").join(opened.fetch().select("hash", "data"), "hash")
+    fetched = clone.reassembled(pieces, ["archive_id"]).select(F.lit("fetched").alias("way"), "size", F.sha2("content", 256).alias("hash"))
+    return spark.createDataFrame(rows, "way string, size long, hash string").unionByName(fetched)
 
 
 def streaming_dedup(spark, sf_dir):
@@ -300,7 +354,7 @@ def streaming_dedup(spark, sf_dir):
 
     schema = _table(spark, sf_dir, "documents").schema
     arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*").select("doc_id", "text")
-    path = _shared(spark, "stream")
+    path = shared_folder(spark, "stream")
     writer = deduplicate(arriving, ROLL, f"{path}/chunks", f"{path}/state", key="doc_id", content="text", hash_algorithm="sha256")
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
@@ -314,7 +368,7 @@ def streaming_segments(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     by = Window.partitionBy("conv_id").orderBy("turn")
     numbered = turns.select("conv_id", (F.row_number().over(by) - 1).alias("segment"), F.col("text").alias("content"), F.lead("turn").over(by).isNull().alias("last"))
-    path = _shared(spark, "segments")
+    path = shared_folder(spark, "segments")
     numbered.write.parquet(f"{path}/in")
     arriving = spark.readStream.schema(numbered.schema).parquet(f"{path}/in")
     query = chunk_segments(arriving, ChunkerConfig.fixed(SIZE, 32), key="conv_id", hash_algorithm="sha256").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
@@ -329,7 +383,7 @@ QUERIES = {
         unique_chunks, rebuild_order, source_layout, archive_layout, chunk_index, truncated_identity, truncation_collisions, prefix_equality,
         reassemble_verify, provider_precedence, seed_matches, missing_chunks, clone_counters, in_place, remaining_offsets, overlap_pairs,
         reorder_ops, range_requests, diff_classes, diff_summary, set_operations, info_report, human_size, parse_size, hex_roundtrip,
-        metadata_lookup, codec_marker, compress_roundtrip, blake2_identity, streaming_dedup, streaming_segments,
+        metadata_lookup, codec_marker, compress_roundtrip, blake2_identity, archive_roundtrip, streaming_dedup, streaming_segments,
     )
 }
 

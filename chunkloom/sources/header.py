@@ -14,9 +14,9 @@ from dataclasses import dataclass, field
 from chunkloom.config import ALGORITHMS, CODECS, ChunkerConfig, Compression
 from chunkloom.errors import ArchiveError
 
-# The magic bytes, now and in older files.
-MAGIC = bytes([0x42, 0x49, 0x54, 0x41, 0x31, 0x00])
-OLD_MAGIC = bytes([0x00, 0x42, 0x49, 0x54, 0x41, 0x31])
+# The signature that files of this format begin with, now and in older files.
+MAGIC = b"BITA1\0"
+OLD_MAGIC = b"\0BITA1"
 PREFIX, SUFFIX = len(MAGIC) + 8, 8 + 64
 
 # Field numbers of the messages, with the kind of each field (a number, bytes, text or a message).

@@ -48,7 +48,7 @@ class ByteReader:
         return out
 
     def _fetch(self, offset: int, size: int) -> bytes:
-        out, left = b"", self.retries
+        out, left = bytearray(), self.retries
         while len(out) < size:
             request = urllib.request.Request(self.source, headers=self.headers | {"Range": f"bytes={offset + len(out)}-{offset + size - 1}"})
             try:
@@ -64,4 +64,4 @@ class ByteReader:
                     raise e if isinstance(e, RangeError) else RangeError(str(e)) from e
                 left -= 1
                 time.sleep(self.delay)
-        return out[:size]
+        return bytes(out[:size])

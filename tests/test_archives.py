@@ -180,8 +180,57 @@ def test_commands(spark, tmp_path, capsys):
     with pytest.raises(SystemExit):
         cli.main(["clone", arc, out], spark)
     cli.main(["clone", arc, out, "--seed-output"], spark)
-    assert "output:" in capsys.readouterr().out
+    assert "in place:" in capsys.readouterr().out
     cli.main(["diff", str(source), out, *sizes], spark)
     assert capsys.readouterr().out.startswith("both: ")
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["compress", "x", "--fixed-size", "1KiB", "--hash-chunking", "BuzHash"])
+    table = tmp_path / "table"
+    table.write_text(" ".join(str(i * 2654435761 % (1 << 32)) for i in range(256)))
+    cli.main(["-v", "compress", "-i", str(source), str(tmp_path / "b.arc"), *sizes, "--hash-chunking", "BuzHash", "--buzhash-table", str(table)], spark)
+    cli.main(["-v", "clone", str(tmp_path / "b.arc"), str(tmp_path / "b"), "--seed", str(source), "--buzhash-table", str(table)], spark)
+    assert open(tmp_path / "b", "rb").read() == MIXED and "archive:" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("k", range(3))
+def test_a_file_in_splits(spark, tmp_path, monkeypatch, k):
+    monkeypatch.setattr(archive, "WHOLE", 100)
+    monkeypatch.setattr(archive, "RUN", 700)
+    monkeypatch.setattr(archive, "SPLIT", 900)
+    source, size = tmp_path / "s", 1500
+    data = MIXED.replace(b"\0", b"x")
+    source.write_bytes(data)
+    options = ArchiveOptions(CHUNKERS[k], CODECS[1])
+    whole = archive.create_archive(spark, data, str(tmp_path / "a"), options)
+    cut = archive.create_archive(spark, archive.file_splits(spark, str(source), size), str(tmp_path / "b"), options)
+    assert (tmp_path / "a").read_bytes() == (tmp_path / "b").read_bytes() and whole == cut
+    assert not [f for f in tmp_path.iterdir() if "part" in f.name]
+    opened = archive.open_archive(spark, str(tmp_path / "b"))
+    used = archive.clone_archive(opened, [("file", str(source))], str(tmp_path / "o"))
+    assert (tmp_path / "o").read_bytes() == data and [r["provider"] for r in used] == ["file"]
+    parts = opened.fetch().collect()
+    by = {r.idx: bytes(r.data) for r in parts}
+    assert b"".join(by[i] for i in cut.rebuild_order) == data
+
+
+@pytest.mark.parametrize("k", range(3))
+def test_in_place(spark, tmp_path, k):
+    rng = random.Random(k)
+    blocks = [rng.randbytes(64) for _ in range(40)]
+    other = [*rng.sample(blocks, 30), *(rng.randbytes(64) for _ in range(8)), blocks[0], blocks[0]]  # moves in circles, new blocks, repeats
+    rng.shuffle(other)
+    options = ArchiveOptions(ChunkerConfig.fixed(64) if k < 2 else ChunkerConfig("rollsum", 5, 16, 256, 16), CODECS[0])
+    archive.create_archive(spark, b"".join(blocks) + b"end", str(tmp_path / "a"), options)
+    opened, out = archive.open_archive(spark, str(tmp_path / "a")), tmp_path / "o"
+    for start in (b"".join(other), b"".join(blocks) + b"end" + bytes(500), b"", b"".join(blocks[1:] + blocks[:1])):
+        out.write_bytes(start)
+        used = archive.clone_archive(opened, [], str(out), in_place=True)
+        assert out.read_bytes() == b"".join(blocks) + b"end"
+        assert {"in place", "moved"} <= {r["provider"] for r in used}
+    out.write_bytes(b"".join(other))
+    damaged = bytearray((tmp_path / "a").read_bytes())
+    at = damaged.find(blocks[[b in other for b in blocks].index(False)])
+    damaged[at + 5] ^= 1
+    (tmp_path / "a").write_bytes(bytes(damaged))
+    with pytest.raises((HashMismatchError, PySparkException)):
+        archive.clone_archive(archive.open_archive(spark, str(tmp_path / "a")), [], str(out), in_place=True)

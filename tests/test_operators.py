@@ -12,6 +12,7 @@ from chunkloom.errors import CompressionError, ConfigError, SizeError
 from chunkloom.functions import codecs, hashes, sizes
 from chunkloom.operators import chunking, clone, dictionary, diff, order, reorder
 from chunkloom.operators.kernels import chunk_ends
+from chunkloom.sources import archive
 
 
 def index(spark, rows, archive=0):
@@ -70,13 +71,8 @@ def test_reorder_moves_data_without_loss(spark):
 
         buffer = bytearray(b"".join(chunks[h] for h in old)) + bytearray(200)
         steps = reorder.reorder(index(spark, layout(old)), index(spark, layout(new)), 8).orderBy("step").collect()
-        kept = {}
-        for r in steps:
-            data = kept.get(r.hash[0], bytes(buffer[r.source : r.source + r.size]))
-            if r.op == "store":
-                kept[r.hash[0]] = data
-            for d in r.dest:
-                buffer[d : d + r.size] = data
+        write = lambda a, x: buffer.__setitem__(slice(a, a + len(x)), x)  # noqa: E731, B023
+        reorder.carry_out(((r.op, bytes(r.hash), r.size, r.source, r.dest) for r in steps), lambda a, n: bytes(buffer[a : a + n]), write)  # noqa: B023
         at = 0
         for h in new:
             if h in old:
@@ -218,3 +214,38 @@ def test_empty_tables(spark):
     cut = spark.createDataFrame([], "archive_id int, file_id long, seq long, length long, hash binary")
     numbered = dictionary.dictionary(cut)
     assert numbered.count() == dictionary.summary(cut).count() == dictionary.source_layout(dictionary.rebuild_order(cut, numbered), numbered).count() == 0
+
+
+def test_many_stretches_and_ranges_over_them(spark, monkeypatch):
+    monkeypatch.setattr(order, "STRETCH", 1)
+    monkeypatch.setattr(order, "ROWS", 2)
+    rng = random.Random(5)
+    rows, at = [], 0
+    for k in range(200):
+        at += rng.choice([0, 0, 0, 7])
+        rows.append((k % 2, k, at, 3))
+        at += 3 * (k % 2)
+    df = spark.createDataFrame(rows, "archive_id int, idx long, offset long, size long")
+    assert order.stretches(df) > 64  # beyond what is compared one by one
+    got = clone.coalesced(df).collect()
+    monkeypatch.undo()
+    assert sorted(map(str, got)) == sorted(map(str, clone.coalesced(df).collect())) and len(got) > 20
+
+
+def test_ties_of_sizes_go_to_the_even_digit(spark):
+    sizes_ = [1280, 3328, 1331, 1332, 5 << 18, 7 << 19, (1 << 20) + (1 << 18), 1025, (1 << 50) + (1 << 18)]
+    df = spark.createDataFrame([(n,) for n in sizes_], "n long")
+    assert [r.t for r in df.select(sizes.human_size(F.col("n")).alias("t")).collect()] == [archive.human(n) for n in sizes_]
+    assert archive.human(1280) == "1.2 KiB (1280 bytes)" and archive.human(3328) == "3.2 KiB (3328 bytes)"
+
+
+def test_joined_values(spark):
+    rows = [([b"ab", b"", None, b"c"],), ([],), (None,), ([b"xyz"],)]
+    df = spark.createDataFrame(rows, "x array<binary>").repartition(2)
+    assert sorted(bytes(r.y) for r in df.select(hashes.joined("x").alias("y")).collect()) == [b"", b"", b"abc", b"xyz"]
+
+
+def test_splits_shorter_than_the_window_are_refused(spark):
+    df = spark.createDataFrame([(0, k * 10, bytearray(range(10))) for k in range(9)], "file_id long, split_offset long, content binary")
+    with pytest.raises(PySparkException):
+        chunking.chunks_of_splits(df, ChunkerConfig("rollsum", 5, 16, 256, 32)).collect()
