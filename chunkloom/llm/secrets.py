@@ -63,8 +63,11 @@ def spans(text: Column, pattern: str, value: int = 0) -> Column:
         of = lambda n: let(running(sizes), lambda e: F.transform(m, lambda x, k: F.struct((F.get(e, k) - F.length(x)).alias("start"), F.get(e, k).alias("end"), n(x, k).alias("n"))))
         return of(lambda x, k: F.length(x)) if values is None else let(values, lambda v: of(lambda x, k: F.length(F.get(v, k))))
 
-    nothing = F.array().cast("array<struct<start:int,end:int,n:int>>")
-    return let(found, lambda m: F.when(F.size(m) == 0, nothing).otherwise(placed(m)))
+    return let(found, lambda m: F.when(F.size(m) == 0, nothing()).otherwise(placed(m)))
+
+
+def nothing() -> Column:
+    return F.array().cast("array<struct<start:int,end:int,n:int>>")
 
 
 def _at_least(pattern: str, n: int) -> str:
@@ -78,32 +81,37 @@ def _parts(text: Column) -> Column:
     as_kind = lambda x, kind: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end"))
     assign, least = BASE["assign"]
     tokens = _at_least(WEAK["run"], RUN)
+    # a pattern is only tried on texts with a character string that all its matches have
+    named = text.contains(":") | text.contains("=")
+    have = lambda test, found: F.when(test, found).otherwise(nothing())
     mixed = lambda x: x.rlike("[A-Z]") & x.rlike("[a-z]") & x.rlike("[0-9]")
 
     def of(a: Column) -> Column:
         pick = lambda s, keep, kind: F.transform(F.filter(s, keep), lambda x: as_kind(x, kind))
-        base = F.concat(pick(a, lambda x: x["n"] >= least, "assign"), *[pick(spans(text, _at_least(*BASE[k])), lambda x: x["n"] > 0, k) for k in ("access", "hex")])
+        base = F.concat(pick(a, lambda x: x["n"] >= least, "assign"), *[pick(have(test, spans(text, _at_least(*BASE[k]))), lambda x: x["n"] > 0, k) for k, test in (("access", text.contains("AKIA")), ("hex", F.lit(True)))])
         runs = F.filter(spans(text, tokens), lambda x: (x["n"] == RUN) & mixed(F.substring(text, x["start"] + 1, F.lit(RUN))))
         weak = F.concat(
             pick(a, lambda x: (x["n"] < least) & (x["n"] >= VALUE), "secret"),
-            pick(spans(text, WEAK["key"], 2), lambda x: x["n"] >= VALUE, "secret"),
+            pick(have(named, spans(text, WEAK["key"], 2)), lambda x: x["n"] >= VALUE, "secret"),
             F.transform(runs, lambda x: as_kind(x, "secret")),
-            pick(spans(text, WEAK["id"], 2), lambda x: x["n"] >= VALUE, "id"),
-            F.transform(spans(text, WEAK["endpoint"]), lambda x: as_kind(x, "endpoint")),
+            pick(have(named, spans(text, WEAK["id"], 2)), lambda x: x["n"] >= VALUE, "id"),
+            F.transform(have(text.contains("://"), spans(text, WEAK["endpoint"])), lambda x: as_kind(x, "endpoint")),
         )
         return F.struct(F.array_sort(base).alias("base"), weak.alias("weak"))
 
-    return let(spans(text, assign, 2), of)
+    return let(have(named, spans(text, assign, 2)), of)
 
 
 def _linked(found: DataFrame) -> DataFrame:
     """(doc, row, start, rank, end): weak parts with their complement in scope.
 
     A weak secret needs an identifier or endpoint, a weak identifier a secret, an endpoint both. Parts are joined on
-    stretches of their text, a part with its scope around it in each stretch that it touches.
+    stretches of their text, a part with its scope around it in each stretch that it touches. Rows of one key and text have the same
+    parts, which are joined once, however many rows there are.
     """
     rank = {k: F.lit(KINDS.index(k)) for k in KINDS}
-    part = found.where("size(weak) > 0").select("doc", "row", F.explode(F.concat(F.col("base"), F.col("weak"))).alias("x")).select("doc", "row", "x.*")
+    once = found.where("size(weak) > 0").groupBy("doc", "row").agg(F.first("base").alias("base"), F.first("weak").alias("weak"))
+    part = once.select("doc", "row", F.explode(F.concat(F.col("base"), F.col("weak"))).alias("x")).select("doc", "row", "x.*")
     bins = lambda a, b: F.explode(F.sequence(F.floor(a / SCOPE), F.floor(b / SCOPE))).alias("bin")
     asks = part.where(F.col("rank").isin(*map(KINDS.index, ("secret", "id", "endpoint")))).select("*", bins(F.col("start") - SCOPE, F.col("end") + SCOPE))
     gives = part.select("doc", "row", F.col("rank").alias("r"), F.col("start").alias("s"), F.col("end").alias("e"), bins(F.col("start"), F.col("end")))
