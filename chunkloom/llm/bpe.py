@@ -201,15 +201,17 @@ def pretoken_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Coder:
     """Encodes whole texts by their pre-tokens, each of which goes to the library when it is first met.
 
-    Pre-tokens are known again by a 64-bit hash of their bytes.
+    Pre-tokens are known again by a 64-bit hash of their bytes. added: whether the definition's added tokens are looked for in the
+    texts first, as the library does unless it is told that they are ordinary text; texts that hold one go to it whole.
     """
 
-    def __init__(self, definition: str, pattern: str, direct: str = UNSURE):
+    def __init__(self, definition: str, pattern: str, direct: str = UNSURE, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [x["content"].encode() for x in json.loads(definition).get("added_tokens", [])] if added else []
         self.merge = self.tokenizer.model.tokenize
         self.characters = byte_table()
         self.split = regex.compile(pattern).findall
@@ -237,11 +239,24 @@ class Coder:
         self.starts[first : last + 1] = self.used + np.cumsum([0, *map(len, found)])
         self.used += len(flat)
 
+    def with_added(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows that hold an added token, whatever other tokens may do to it."""
+        out = np.zeros(len(offsets) - 1, bool)
+        data = raw.tobytes() if self.added else b""
+        for token in self.added:
+            at = data.find(token)
+            while at >= 0:
+                out[np.searchsorted(offsets, at, "right") - 1] = True  # one that two rows make up marks one for nothing
+                at = data.find(token, at + 1)
+        return out
+
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text, and the ids of each text; texts: a list or an Arrow array."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         raw, offsets = text_bytes(texts)
         simple = near_latin(raw, offsets)
+        special = self.with_added(raw, offsets)
+        simple[special] = False
         whole: dict[int, np.ndarray] = {}
         if simple.all():
             starts = pretoken_starts(raw, offsets)
@@ -253,7 +268,7 @@ class Coder:
             flag[to[pretoken_starts(raw[to], np.concatenate([[0], np.cumsum(sizes[easy])]))]] = True
             for k in np.flatnonzero(~simple).tolist():
                 text = raw[offsets[k] : offsets[k + 1]].tobytes().decode()
-                if self.direct(text):
+                if special[k] or self.direct(text):
                     whole[k] = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                     flag[offsets[k]] = True  # a stand-in; its ids are replaced below
                 else:
@@ -286,9 +301,9 @@ class Coder:
 
 
 @lru_cache(maxsize=1)
-def coder_of(definition: str, pattern: str) -> Coder:
+def coder_of(definition: str, pattern: str, added: bool = False) -> Coder:
     """A worker process keeps its coder, and what that has learnt, from task to task."""
-    return Coder(definition, pattern)
+    return Coder(definition, pattern, added=added)
 
 
 class Decoder:

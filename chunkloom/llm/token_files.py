@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import coder_of
-from .common import Table, binary_rows, ragged, shared_folder, slices, small_batches, text_bytes
+from .common import Table, binary_rows, going, ragged, shared_folder, slices, small_batches, text_bytes
 
-#: Longest code in bits (more only if there are more ids than codes), ids between marks, ids in a block or shard.
-LIMIT, STEP, BLOCK, SHARD = 16, 256, 1 << 20, 1 << 24
+#: Longest code in bits (more only if there are more ids than codes), ids between marks, ids in a block, ids in a shard (more beyond SHARDS shards).
+LIMIT, STEP, BLOCK, SHARD, SHARDS = 16, 256, 1 << 20, 1 << 24, 1 << 16
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -114,7 +114,7 @@ class Code:
         return out
 
 
-def _coded_ids(df: DataFrame, definition: str, pattern: str, end: int, key: str, text: str) -> DataFrame:
+def _coded_ids(df: DataFrame, definition: str, pattern: str, end: int, key: str, text: str, added: bool) -> tuple[DataFrame, type]:
     """(key, n, ids): the ids of each text and the end id, in as few bytes as the vocabulary allows."""
     spec = json.loads(definition)
     if spec.get("normalizer") or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space") or not spec["pre_tokenizer"].get("use_regex", True):
@@ -124,7 +124,7 @@ def _coded_ids(df: DataFrame, definition: str, pattern: str, end: int, key: str,
     small_batches(df.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of(definition, pattern)
+        coder = coder_of(definition, pattern, added)
         for part in slices(batches):
             ids, counts = coder.encode(part.column(1))
             ids = np.insert(ids, np.cumsum(counts), end).astype(small)
@@ -139,16 +139,17 @@ def _flat(column: pa.Array, small) -> np.ndarray:
     return np.frombuffer(raw.tobytes(), small)
 
 
-def write_tokens(df: DataFrame, path: str, definition: str, pattern: str, end: int, *, key: str = "doc_id", text: str = "text") -> None:
+def write_tokens(df: DataFrame, path: str, definition: str, pattern: str, end: int, *, key: str = "doc_id", text: str = "text", added: bool = True) -> None:
     """Write the ids of every whole text, `end` after each, in ascending key order.
 
     A null or empty text has the end id alone. Null keys come first; rows with equal keys follow each
-    other in the order of their ids. Only key and text are read, so other columns' names don't matter. An empty table
-    gives empty tables. Ids are made once and kept in the shared folder; what is shuffled into key
-    order is already Huffman-coded; it is dealt to shards by quantiles of the key.
+    other in the order of a hash of their coded ids. Only key and text are read, so other columns' names don't matter. An empty table
+    gives empty tables. added: tokens that the definition adds to its vocabulary are found in the texts, as
+    Tokenizer.encode does unless told otherwise. Ids are made once and kept in the shared folder, then Huffman-coded; what is coded is
+    dealt to shards by ranges of key and hash, so rows of one key are no hot group.
     """
     spark = df.sparkSession
-    coded, small = _coded_ids(df, definition, pattern, end, key, text)
+    coded, small = _coded_ids(df, definition, pattern, end, key, text, added)
     ids = Table(coded, "ids")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,15 +203,15 @@ def write_tokens(df: DataFrame, path: str, definition: str, pattern: str, end: i
             yield one()
 
     totals = ids.df.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-totals // SHARD))
-    bounds = [] if parts < 2 else ids.df.agg(F.percentile_approx("key", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []
-    shard = F.lit(0)  # of a null key, too
-    if bounds:
-        shard = F.coalesce(F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda x: x < F.col("key"))), F.lit(0))
-    sorted_ = ids.df.mapInArrow(compress, f"key {kind}, n long, marks binary, data binary").repartitionById(parts, shard).sortWithinPartitions("key", "data")
+    parts = max(1, min(-(-totals // SHARD), SHARDS))
+    packed = Table(ids.df.mapInArrow(compress, f"key {kind}, n long, marks binary, data binary").withColumn("tie", F.xxhash64("n", "data")), "coded")
+    ids.drop()
+    order = ("key", "tie", "data")
+    dealt = packed.df if parts == 1 else packed.df.repartitionByRange(parts, *order[:2])
+    sorted_ = (dealt.coalesce(1) if parts == 1 else dealt).sortWithinPartitions(*order).select("key", "n", "marks", "data")
     blocks = sorted_.mapInArrow(block, f"shard int, block int, first long, keys array<{kind}>, n_ids array<long>, sizes array<long>, marks binary, data binary")
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
-    ids.drop()
+    packed.drop()
     sizes = spark.read.parquet(f"{path}/blocks").select("shard", F.aggregate("n_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base")).write.parquet(f"{path}/shards")
@@ -253,4 +254,5 @@ def op5_token_files(spark, sf_dir: str, definition: str | None = None, pattern:
         text = file.read()
     path = f"{shared_folder(spark).rstrip('/')}/chunkloom-tokens-{uuid.uuid4().hex}"
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, text, pattern, end)
+    going(spark, path)
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -49,7 +49,7 @@ def test_query_like_whole_texts(spark, tmp_path, monkeypatch, block):
     monkeypatch.setattr(tf, "BLOCK", block)
     monkeypatch.setattr(tf, "SHARD", 400)
     rng = random.Random(4)
-    texts = ["", None, "a", "Hello wörld 's €5", "x y " * 900, "日本"] + [" ".join(rng.choices(["the", "in", "on\n", "étre"], k=rng.randrange(60))) for _ in range(40)]
+    texts = ["", None, "a", "Hello wörld 's €5", "x y " * 900, "日本", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>", "日 <|endoftext|>", "<|endoftext|> <|endof", "text|>", "<|endoftext|"] + [" ".join(rng.choices(["the", "in", "on\n", "étre"], k=rng.randrange(60))) for _ in range(40)]
     rows = [(i * 7 % 101, t, i) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, ids int").write.parquet(str(tmp_path / "documents.parquet"))
     whole, start, want = Tokenizer.from_file(P.path("byte_bpe_50k.json")), 0, []
@@ -68,3 +68,24 @@ def test_null_and_repeated_keys_and_empty_tables(spark, tmp_path):
     assert [r.doc_id for r in got] == [None, None, 1, 1] and [r.n_tokens for r in got][2:] == [3, 3]
     tf.write_tokens(df.limit(0), str(tmp_path / "b"), definition, P.PATTERN, 2)
     assert tf.read_tokens(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_a_hot_key_is_split_and_order_is_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tf, "SHARD", 300)
+    definition = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    rows = [(7, f"text {i}") for i in range(300)] + [(None, f"none {i}") for i in range(200)] + [(i, "other") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tf.write_tokens(df, str(tmp_path / "a"), definition, P.PATTERN, 2)
+    blocks = spark.read.parquet(str(tmp_path / "a" / "blocks")).collect()
+    assert len({b.shard for b in blocks if 7 in b["keys"]}) > 2 and len({b.shard for b in blocks if None in b["keys"]}) > 2
+    got = sorted(tf.read_tokens(spark, str(tmp_path / "a")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k))
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+
+
+def test_added_tokens_as_ordinary_text(spark, tmp_path):
+    definition = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    df = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
+    for added, want in ((True, [64, 220, 50256, 275, 2]), (False, [64, 1279, 91, 437, 1659, 5239, 91, 29, 275, 2])):
+        tf.write_tokens(df, str(tmp_path / str(added)), definition, P.PATTERN, 2, added=added)
+        assert np.frombuffer(tf.read_tokens(spark, str(tmp_path / str(added))).first().ids, "<u4").tolist() == want
