@@ -1,13 +1,20 @@
 """Toxicity: a weighted finite-state grammar over clauses, with terms and weights learnt from labels.
 
-A text is read by a cascade of transducers. The lexicon, an automaton over characters, turns words into classes: insult
-and threat (with weights), target, negation, speech. Two small machines over these classes are composed into one
-table: negation weakens what follows it for three words, reported speech what follows it in the clause. Insult and threat
-are sums over the clause and target is a flag, not machines: a target strengthens the clause, a threat counts only with one. The score of a clause is what its path gives.
-A document's score is a logistic function of its clauses' scores.
-
-Word lists give the machine a start. What is not in them is learnt: words and word beginnings that mark
-labelled texts, chosen so that few of them cover all (so texts copied many times can't fill the list).
+A text is read by a cascade of transducers. The lexicon, an automaton over characters, turns words into classes with
+weights: insult, threat, target, negation, speech. Five small weighted machines over these classes are composed into one table,
+which a clause is walked through word by word:
+
+    insult    an insult counts with its weight
+    threat    a threat waits until the clause has named a target, and counts at once after that; one without a target never counts
+    target    a clause with a target ends in a state that raises all it counts
+    negation  what follows a negation within three words counts less
+    speech    what follows a word of reported speech counts less, to the end of the clause
+
+The score of a clause is what its path gives; a document's score is a logistic function of its clauses' scores.
+
+Word lists give the machines a start. What is not in them is learnt: words and word beginnings that mark
+labelled texts, chosen so that few of them cover all (so texts copied many times can't fill the list), insults or threats by
+the company they keep; and words before them that labels say weaken them, as negation or speech.
 """
 
 from __future__ import annotations
@@ -47,26 +54,53 @@ _CLAUSE = re.compile(r"[.!?;:\n]+")
 
 @dataclass(frozen=True)
 class Machine:
-    """A transducer over word classes: from (state, class) to the next state, and the factor that a state gives to what it reads."""
+    """A weighted transducer over word classes.
 
-    states: int
-    step: dict[tuple[int, int], int]
-    factor: tuple[float, ...]
+    An arc, from a state by a word's class, leads to the next state (the same one if `step` has none) and says what becomes of the word's
+    weight: `gain` of it counts, `hold` of it waits, and an arc in `free` makes all that waits count. `factor`: what a state
+    gives to the weight of the word that is read in it; `final`: what the state where a clause ends gives to all that counts.
+    """
 
-    def __matmul__(self, other: Machine) -> Machine:
-        """Both machines side by side, as one."""
-        pairs = list(product(range(self.states), range(other.states)))
-        at = {p: i for i, p in enumerate(pairs)}
-        go = lambda m, s, c: m.step.get((s, c), s)
-        step = {(at[a, b], c): at[go(self, a, c), go(other, b, c)] for a, b in pairs for c in range(6)}
-        return Machine(len(pairs), step, tuple(self.factor[a] * other.factor[b] for a, b in pairs))
+    states: int
+    step: dict[tuple[int, int], int] = field(default_factory=dict)
+    gain: dict[tuple[int, int], float] = field(default_factory=dict)
+    hold: dict[tuple[int, int], float] = field(default_factory=dict)
+    free: frozenset[tuple[int, int]] = frozenset()
+    factor: tuple[float, ...] = ()
+    final: tuple[float, ...] = ()
 
+    def of(self, values: tuple[float, ...], state: int) -> float:
+        return values[state] if values else 1.0
 
+    def __matmul__(self, other: Machine) -> Machine:
+        """Both machines as one: pairs of states that can be reached, what counts or waits in either, factors of both."""
+        arcs, numbers, pairs = {}, {(0, 0): 0}, [(0, 0)]
+        for a, b in pairs:
+            for c in range(CLASSES):
+                to = self.step.get((a, c), a), other.step.get((b, c), b)
+                if to not in numbers:
+                    numbers[to] = len(pairs)
+                    pairs.append(to)
+                arcs[numbers[a, b], c] = a, b, numbers[to]
+        both = lambda x, y: {k: v for k, (a, b, _) in arcs.items() if (v := x.get((a, k[1]), 0.0) + y.get((b, k[1]), 0.0))}
+        free = frozenset(k for k, (a, b, _) in arcs.items() if (a, k[1]) in self.free or (b, k[1]) in other.free)
+        product = lambda x, y: tuple(self.of(x, a) * other.of(y, b) for a, b in pairs)
+        return Machine(len(pairs), {k: n for k, (_, _, n) in arcs.items()}, both(self.gain, other.gain), both(self.hold, other.hold), free, product(self.factor, other.factor), product(self.final, other.final))
+
+    def table(self) -> list[tuple[int, float, float, bool]]:
+        """For each state and class, one after another: the next state, what counts, what waits, whether what waits counts."""
+        return [(self.step.get((s, c), s), self.gain.get((s, c), 0.0) * self.of(self.factor, s), self.hold.get((s, c), 0.0) * self.of(self.factor, s), (s, c) in self.free) for s in range(self.states) for c in range(CLASSES)]
+
+
+CLASSES = 6
+INSULTING = Machine(1, gain={(0, INSULT): 1.0})
+THREATENING = Machine(2, {(0, TARGET): 1}, gain={(1, THREAT): 1.0}, hold={(0, THREAT): 1.0}, free=frozenset({(0, TARGET)}))
+TARGETING = Machine(2, {(0, TARGET): 1}, final=(1.0, 1.25))
 #: Three words long; any word but a negation counts down.
-NEGATED = Machine(4, {(s, c): 3 if c == NEGATION else max(s - 1, 0) for s in range(4) for c in range(6)}, (1.0, 0.3, 0.3, 0.3))
-REPORTED = Machine(2, {(0, SPOKEN): 1}, (1.0, 0.5))
-GRAMMAR = NEGATED @ REPORTED
-TARGETED = 1.25
+NEGATED = Machine(4, {(s, c): 3 if c == NEGATION else max(s - 1, 0) for s in range(4) for c in range(CLASSES)}, factor=(1.0, 0.3, 0.3, 0.3))
+REPORTED = Machine(2, {(0, SPOKEN): 1}, factor=(1.0, 0.5))
+GRAMMAR = INSULTING @ THREATENING @ TARGETING @ NEGATED @ REPORTED
+TABLE = GRAMMAR.table()
 
 
 @dataclass
@@ -110,33 +144,53 @@ class Reader:
         return OTHER, 0.0
 
     def clause(self, words: list[str]) -> tuple[float, set[str]]:
-        """The score of a clause, and the terms that it is due to."""
-        state, total, threat, target, met = 0, 0.0, 0.0, False, set()
+        """The score of a clause, and the terms that it is due to: one walk through the composed table."""
+        state, counts, waits, met = 0, 0.0, 0.0, set()
         for word in words:
             kind, weight = self.classed(word)
+            state, gain, hold, free = TABLE[state * CLASSES + kind]
+            waits += weight * hold
+            if free:
+                counts, waits = counts + waits, 0.0
+            counts += weight * gain
             if kind == INSULT:
-                total += weight * GRAMMAR.factor[state]
                 met.add(word[:4])
-            elif kind == THREAT:
-                threat += weight * GRAMMAR.factor[state]
-            elif kind == TARGET:
-                target = True
-            state = GRAMMAR.step.get((state, kind), state)
-        return (total + threat) * TARGETED if target else total, met
+        return counts * GRAMMAR.of(GRAMMAR.final, state), met
 
-    def figures(self, text: str | None) -> tuple[float, float, float, float, int]:
-        """Of a text: log of all clauses' scores, the best clause's, log of different terms, log of its length if any; and the clauses that score."""
+    def clauses(self, text: str | None) -> list[list[str]]:
+        """The words of the clauses that hold an insult or a threat."""
         if not text or not self.any:
-            return 0.0, 0.0, 0.0, 0.0, 0
+            return []
         text = text.lower()
         hits = [end - n + 1 for end, n in self.find.iter(text)]
         hits = [a for a in hits if a == 0 or not text[a - 1].isalnum()]
         if not hits:
-            return 0.0, 0.0, 0.0, 0.0, 0
+            return []
         edges = [0, *(m.end() for m in _CLAUSE.finditer(text)), len(text) + 1]
+        return [_WORD.findall(text[edges[k] : edges[k + 1]]) for k in np.unique(np.searchsorted(edges, hits, "right") - 1).tolist()]
+
+    def company(self, text: str | None) -> set[str]:
+        """What stands with scoring words: t+ or t- and a scoring term, with or without a target in its clause; n and each word up to three before one, s and those further before."""
+        out = set()
+        for words in self.clauses(text):
+            kinds = [self.classed(w)[0] for w in words]
+            at = [k for k, c in enumerate(kinds) if c in (INSULT, THREAT)]
+            if not at:
+                continue
+            sign = "+" if TARGET in kinds else "-"
+            out |= {f"t{sign}{self.term(words[k])}" for k in at}
+            out |= {("n" if at[0] - k <= 3 else "s") + words[k] for k in range(at[0]) if kinds[k] == OTHER}
+        return out
+
+    def term(self, word: str) -> str:
+        """The term that gives a word its class."""
+        return word if word in self.terms else next(word[:n] + "*" for n in range(min(len(word), self.longest), 0, -1) if word[:n] in self.starts)
+
+    def figures(self, text: str | None) -> tuple[float, float, float, float, int]:
+        """Of a text: log of all clauses' scores, the best clause's, log of different terms, log of its length if any; and the clauses that score."""
         scores, met = [], set()
-        for k in np.unique(np.searchsorted(edges, hits, "right") - 1).tolist():
-            score, terms = self.clause(_WORD.findall(text[edges[k] : edges[k + 1]]))
+        for words in self.clauses(text):
+            score, terms = self.clause(words)
             if score > 0:
                 scores.append(score)
                 met |= terms
@@ -207,6 +261,34 @@ def _learnt(sample: DataFrame) -> dict[str, tuple[int, float]]:
     return out
 
 
+def _classed(model: Model, found: DataFrame) -> None:
+    """Give learnt terms the class that their company shows; found: (toxic, company) of each text that was learnt from.
+
+    A term whose texts are toxic with a target in the clause, and without one no more than others, is a threat. A word that
+    stands before scoring words mostly where the text isn't toxic, by more than chance, weakens: as negation within three
+    words, as speech before that.
+    """
+    each = found.where("size(company) > 0")
+    texts = each.groupBy("toxic").count().collect()
+    n = sum(r["count"] for r in texts)
+    rate = sum(r["count"] for r in texts if r.toxic) / n if n else 0.0
+    if not 0 < rate < 1:
+        return
+    counts = each.select("toxic", F.explode("company").alias("x")).groupBy("x").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n"))
+    counts = Table(counts, "company").df
+    seen = {r.x: (r.pos, r.n) for r in counts.where("x like 't%'").collect()}  # two for each term
+    for term, (kind, weight) in list(model.terms.items()):
+        with_, without = (seen.get(f"t{s}{term}", (0, 0)) for s in "+-")
+        if kind == INSULT and term not in INSULTS and without[1] >= LEAST and without[0] <= without[1] * rate and with_[0] > 2 * rate * with_[1]:
+            model.terms[term] = THREAT, weight
+    least = math.log(n) / -math.log(rate)  # fewer can't pass
+    before = counts.where(f"x not like 't%' and n - pos >= {least} and pos < n * {rate}").orderBy((F.col("pos") - F.col("n")).asc(), "x").limit(CANDIDATES).collect()
+    bound = math.log(CHANCE / max(counts.count(), 1))
+    for r in before:
+        if r.x[1:] not in model.terms and _log_tail(r.n - r.pos, r.n, 1 - rate) < bound:
+            model.terms[r.x[1:]] = (NEGATION if r.x[0] == "n" else SPOKEN), 0.0
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> list[float]:
     """Coefficients, the constant first and not held back, by Newton's steps."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -221,7 +303,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> list[float
 
 
 def fit(labelled: DataFrame, *, text: str = "text", toxic: str = "toxic", order: str | None = None, n_toxic: int = FIT_TOXIC, n_clean: int = FIT_CLEAN) -> Model:
-    """A model from labelled texts; of each label those `n` rows at most that come first by the column `order` (or a hash of the text).
+    """A model from labelled texts; of each label those `n` rows at most that come first by the column `order` (or a hash of the text), ties by text.
 
     Labels are 1 and 0; rows with other labels or none are left out. Where one label is missing, the starting lists and coefficients hold.
     """
@@ -239,6 +321,13 @@ def fit(labelled: DataFrame, *, text: str = "text", toxic: str = "toxic", order:
     model = Model(_learnt(sample.df) | starting_terms())
     sample.drop()
 
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(model)
+        for part in slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sorted(reader.company(t)) for t in part.column(1).to_pylist()], pa.list_(pa.string()))], names=["toxic", "company"])
+
+    _classed(model, Table(texts.select("toxic", "text").mapInArrow(met, "toxic int, company array<string>"), "company").df)
+
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         for part in slices(batches, 1):

@@ -79,6 +79,70 @@ def test_clauses_and_word_starts(reader):
     assert reader.figures(None) == reader.figures("") == (0.0, 0.0, 0.0, 0.0, 0)
 
 
+MACHINES = (tx.INSULTING, tx.THREATENING, tx.TARGETING, tx.NEGATED, tx.REPORTED)
+
+
+def side_by_side(kinds):
+    """The score of a clause by the five machines one beside the other, from what each of them is meant to do."""
+    counts, waits, target, negated, spoken = 0.0, [], False, 0, False
+    for kind, weight in kinds:
+        worth = weight * (0.3 if negated else 1) * (0.5 if spoken else 1)
+        if kind == tx.INSULT:
+            counts += worth
+        if kind == tx.THREAT:
+            if target:
+                counts += worth
+            else:
+                waits.append(worth)
+        if kind == tx.TARGET:
+            target = True
+            counts += sum(waits)
+            waits = []
+        negated = 3 if kind == tx.NEGATION else max(negated - 1, 0)
+        spoken = spoken or kind == tx.SPOKEN
+    return counts * (1.25 if target else 1)
+
+
+def test_composed_table_like_the_machines_side_by_side(reader):
+    rng = random.Random(1)
+    by = {tx.OTHER: ["calm", "word"], tx.INSULT: tx.INSULTS, tx.THREAT: tx.THREATS, tx.TARGET: tx.TARGETS, tx.NEGATION: tx.NEGATIONS, tx.SPOKEN: tx.SPEECH}
+    for _ in range(4000):
+        words = [rng.choice(by[rng.choice([0, 0, 1, 2, 3, 4, 5])]) for _ in range(rng.randrange(12))]
+        assert reader.clause(words)[0] == pytest.approx(side_by_side([reader.classed(w) for w in words])), words
+
+
 def test_machines_compose():
     both = tx.NEGATED @ tx.REPORTED
     assert both.states == 8 and sorted(set(both.factor)) == [0.15, 0.3, 0.5, 1.0]
+    assert tx.GRAMMAR.states == 16  # of 32 pairs; target and threat meet the first target together
+    late = tx.REPORTED @ tx.NEGATED @ tx.TARGETING @ tx.THREATENING @ tx.INSULTING  # in any order
+    walk = lambda m, kinds: [s := 0] + [s := m.step.get((s, c), s) for c in kinds]
+    kinds = [tx.THREAT, tx.NEGATION, tx.TARGET, tx.INSULT, tx.SPOKEN, tx.INSULT, tx.THREAT]
+    for m in (tx.GRAMMAR, late):
+        table = m.table()
+        assert [round(table[s * tx.CLASSES + c][1], 3) for s, c in zip(walk(m, kinds), kinds)] == [0, 0, 0, 0.3, 0, 0.5, 0.5]
+
+
+def test_classes_are_learnt_from_company(spark):
+    rng = random.Random(2)
+    rows = []
+    for k in range(1200):
+        kind = k % 6
+        extra = {0: "zorgl you", 1: "zorgl pump", 2: "nixo idiot", 3: "idiot", 4: "quoth ab cd ef moron", 5: "moron"}[kind]
+        rows.append((prose(rng, 30).replace(".", "") + ". " + extra + ". " + prose(rng, 30), int(kind in (0, 3, 5))))
+    model = tx.fit(spark.createDataFrame(rows, "text string, toxic int"))
+    assert model.terms["nixo"][0] == tx.NEGATION and model.terms["quoth"][0] == tx.SPOKEN
+
+
+def test_clashing_columns_repeated_rows_and_ties(spark, tmp_path):
+    rows, labels = corpus(300)
+    docs = spark.createDataFrame([*rows, *rows[:50]], "doc_id long, text string, source string").withColumns({c: tx.F.lit("n") for c in ("key", "score", "toxic", "order", "clauses")})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([*labels, *labels[:40]], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = tx.op2_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) + 50
+    again = tx.op2_toxicity(spark, str(tmp_path)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    tied = docs.select("text").withColumn("toxic", tx.F.when(tx.F.col("text").contains("idiot"), 1).otherwise(0)).withColumn("order", tx.F.lit(1))
+    assert tx.fit(tied, order="order", n_toxic=20, n_clean=40) == tx.fit(tied.repartition(7), order="order", n_toxic=20, n_clean=40)
+    assert tx.score(docs, tx.Model(tx.starting_terms())).columns == ["doc_id", "score", "clauses"]
