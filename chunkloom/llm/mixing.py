@@ -9,7 +9,7 @@
 3. Quotas. A source has as many tickets as it draws blocks. A binary tree deals all tickets to the shards: each node halves
    its number of tickets, and how many of each source go left is a multivariate hypergeometric draw.
 4. Draws. Shard k takes, of each source, the tickets after those of shards before it: disjoint stretches of
-   the permuted blocks, pass after pass. Each shard is shuffled where it lies.
+   the permuted blocks, pass after pass. Each shard is shuffled where it lies, a large one in parts: stretches of its random order.
 
 A row is drawn by its hash and its source's plan alone, so documents are joined with nothing but one row for each source.
 All of it is column expressions; the same rows and seed give the same mix.
@@ -20,14 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Table, fresh, let
+from .common import SPACE, Table, fresh_root, let
 
 #: Weights by the sources' order, most passes over a row, blocks of all sources (each has one at least), sub-blocks of a block, shards.
 WEIGHTS, REPEATS, BLOCKS, PARTS, SHARDS = (5, 2, 1), 3, 1024, 1024, 16
 #: Sources up to which their plans (with BLOCKS entries in all, and one each at least) are broadcast.
 BROADCAST = 50_000
-#: Rows of a source that are tried at a time to make up the rest of its target.
-TOPS = 256
+#: Rows of a source that are tried at a time to make up the rest of its target. Words that a task shuffles (more, beyond so many tasks).
+TOPS, PART_WORDS, TASKS = 256, 1 << 22, 1 << 18
 
 
 def n_words(text: Column) -> Column:
@@ -177,12 +177,20 @@ def plan(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     tree = root.select(F.lit(1).cast("long").alias("node"), "quotas")
     for _ in range((shards - 1).bit_length()):
         tree = _split(tree, seed)
-    leaves = tree.agg(F.sort_array(F.collect_list(F.struct("node", "quotas"))).alias("leaves"))
-    ends = leaves.select(F.posexplode(F.get("leaves", F.lit(0))["quotas"]).alias("rank", "q"), "leaves")
-    add = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0).cast("long")) + x))
-    sums = lambda x: F.aggregate(x, F.array().cast("array<long>"), lambda acc, v: F.when(F.size(acc) == 0, F.array(v)).otherwise(add(acc, v)))
-    of_source = F.transform("leaves", lambda leaf: F.get(leaf["quotas"], F.col("rank")))
-    return Table(whole.join(ends.select("rank", sums(of_source).alias("ends")), "rank"), "plan").df
+    leaves = tree.select("node", F.posexplode("quotas").alias("rank", "q")).groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("node", "q"))).alias("leaves"))
+    add = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0).cast("long")) + x["q"]))
+    ends = leaves.select("rank", F.aggregate("leaves", F.array().cast("array<long>"), lambda acc, x: F.when(F.size(acc) == 0, F.array(x["q"])).otherwise(add(acc, x))).alias("ends"))
+    return Table(whole.join(ends, "rank"), "plan").df
+
+
+def _planned(df: DataFrame, key: str, text: str, source: str, weights: tuple[int, ...], repeats: int, shards: int, seed: int) -> DataFrame:
+    if shards & (shards - 1):
+        raise ValueError("shards must be a power of two")
+    sized = df.select(F.col(source).alias("source"), n_words(F.col(text)).alias("size"), _row_hash(seed, F.col(key), F.col(text)).alias("u"))
+    return plan(Table(sized, "sized").df, weights=weights, repeats=repeats, shards=shards, seed=seed)
+
+
+ENDINGS = ("plan", "source", "copy", "shard", "part", "order")
 
 
 def draws(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, shards: int = SHARDS, seed: int = 42, into: str = "mix") -> DataFrame:
@@ -191,12 +199,10 @@ def draws(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     size: words of the text. copies: how often the mix takes the row, from 0 to `repeats`. Null is a source like others, the last one. A source
     without words has target 0 and isn't taken; a row without words may be. Equal rows share one hash and are drawn alike. shards must be a power of two.
     """
-    if shards & (shards - 1):
-        raise ValueError("shards must be a power of two")
-    sized = df.select(F.col(source).alias("source"), n_words(F.col(text)).alias("size"), _row_hash(seed, F.col(key), F.col(text)).alias("u"))
-    sized = Table(sized, "sized").df
-    found = plan(sized, weights=weights, repeats=repeats, shards=shards, seed=seed)
-    name = fresh(df, into)
+    return _drawn(df, _planned(df, key, text, source, weights, repeats, shards, seed), fresh_root(df, into, *ENDINGS), key, text, source, seed)
+
+
+def _drawn(df: DataFrame, found: DataFrame, name: str, key: str, text: str, source: str, seed: int) -> DataFrame:
     found = found.select(F.struct(*[c for c in found.columns if c != "source"]).alias(f"{name}plan"), F.col("source").alias(f"{name}source"))
     if found.count() <= BROADCAST:
         found = F.broadcast(found)
@@ -216,14 +222,22 @@ def draws(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], let(u, drawn).alias(name))
 
 
-def mix(df: DataFrame, *, shards: int = SHARDS, seed: int = 42, **how) -> DataFrame:
-    """The mixed rows, each as often as it is drawn (columns as they were): a partition for each shard, shuffled within."""
-    name = fresh(df, "mix")
-    found = draws(df, shards=shards, seed=seed, into=name, **how)
-    copies = found.where(F.col(name)["copies"] > 0).select("*", F.posexplode(F.col(name)["shards"]).alias(f"{name}copy", f"{name}shard"))
-    key, text = how.get("key", "doc_id"), how.get("text", "text")
+def mix(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, shards: int = SHARDS, seed: int = 42, part_words: int = PART_WORDS) -> DataFrame:
+    """The mixed rows, each as often as it is drawn (columns as they were), shard after shard, shuffled within each.
+
+    A shard has as many partitions as its words ask for at `part_words` each (but no more than TASKS in all), so none grows with the
+    input: a row's place in the shard's order is random, and each partition is a stretch of that order. Rows are drawn as draws() says.
+    """
+    found = _planned(df, key, text, source, weights, repeats, shards, seed)
+    words = found.agg(F.sum("target")).first()[0] or 0
+    parts = max(1, min(-(-int(words) // (shards * part_words)), TASKS // shards))
+    name = fresh_root(df, "mix", *ENDINGS)
+    drawn = _drawn(df, found, name, key, text, source, seed)
+    copies = drawn.where(F.col(name)["copies"] > 0).select("*", F.posexplode(F.col(name)["shards"]).alias(f"{name}copy", f"{name}shard"))
     order = F.xxhash64(F.lit(seed), F.lit("order"), F.col(key), F.col(f"{name}copy"), F.xxhash64(text))
-    placed = copies.withColumn(f"{name}order", order).repartitionById(shards, F.col(f"{name}shard"))
+    stretch = F.floor((F.shiftright(F.col(f"{name}order"), 32) + F.lit(1 << 31)) * F.lit(parts).cast("long") / float(1 << 32))
+    part = (F.col(f"{name}shard") * parts + F.least(stretch, F.lit(parts - 1))).cast("int")
+    placed = copies.withColumn(f"{name}order", order).withColumn(f"{name}part", part).repartitionById(shards * parts, F.col(f"{name}part"))
     return placed.sortWithinPartitions(f"{name}order").select(*[F.col(f"`{c}`") for c in df.columns])
 
 

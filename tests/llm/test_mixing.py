@@ -82,3 +82,81 @@ def test_repeated_rows_nulls_and_empty_tables(spark):
     assert mx.draws(df.limit(0)).count() == 0 and mx.mix(df.limit(0)).count() == 0
     nothing = spark.createDataFrame([(1, "", "s"), (2, None, "t")], df.schema)
     assert {(r.mix.target, r.mix.copies) for r in mx.draws(nothing).collect()} == {(0.0, 0)}
+
+
+def test_large_shards_have_parts_and_taken_names_dont_matter(spark):
+    rows = corpus(5)
+    taken = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df = taken.withColumns({c: F.lit(0) for c in ("mixplan", "MixCopy", "mix_order", "mixshard", "mixpart", "mixsource")})
+    whole, cut = (mx.mix(df, shards=2, part_words=n) for n in (1 << 24, 3000))
+    assert whole.columns == df.columns
+    pieces = cut.withColumn("p", F.spark_partition_id()).collect()
+    by = Counter()
+    for r in pieces:
+        by[r.p] += len((r.text or "").split())
+    assert len(by) > 8 and max(by.values()) < 4500
+    # the same rows in the same order, shard after shard
+    ordered = lambda df: [r.doc_id for p in range(df.rdd.getNumPartitions()) for r in df.where(F.spark_partition_id() == p).collect()]
+    assert [r.doc_id for r in sorted(pieces, key=lambda r: r.p)] == ordered(whole)
+    assert mx.draws(df).columns[-1] == "mix__"
+
+
+def test_draws_by_an_independent_walk(spark):
+    """Blocks, sub-blocks and rows of the last pass, walked in plain Python over the same hashes."""
+    rows = corpus(6)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    u = mx._row_hash(42, F.col("doc_id"), F.col("text"))
+    hashed = df.select("source", "text", u.alias("u"), mx._part(u).alias("part")).collect()
+    got = {(r.u): r.mix for r in mx.draws(df, shards=8).select(u.alias("u"), "mix").collect()}
+    sizes = Counter()
+    for r in hashed:
+        sizes[r.source] += len((r.text or "").split())
+    want, total = targets(sizes), sum(sizes.values())
+    for s, target in want.items():
+        own = {r.u: (len((r.text or "").split()), r.part) for r in hashed if r.source == s}
+        passes = min(int(target // sizes[s]), 3) if sizes[s] else 0
+        blocks = max(1, int(1024 * sizes[s] / max(total, 1) + 0.5))
+        room = target - passes * sizes[s] if passes < 3 else 0.0
+        block = lambda u: (u >> 17) % blocks  # noqa: E731, B023
+        order = sorted(range(blocks), key=lambda b: spark_hash(spark, s, blocks)[b])
+        drawn, left = set(), room
+        for b in order if room > 0 else []:
+            members = [u for u in own if block(u) == b]
+            w = sum(own[u][0] for u in members)
+            if w > left:
+                for p in sorted({own[u][1] for u in members}):
+                    inside = [u for u in members if own[u][1] == p]
+                    w = sum(own[u][0] for u in inside)
+                    if w > left:
+                        for x in sorted(inside):
+                            if own[x][0] > left:
+                                break
+                            drawn.add(x)
+                            left -= own[x][0]
+                        break
+                    drawn |= set(inside)
+                    left -= w
+                break
+            drawn |= set(members)
+            left -= w
+        while True:  # what is left is made up by rows that fit, by hash
+            fits = [u for u in sorted(own) if 0 < own[u][0] <= left and u not in drawn][:256] if room > 0 else []
+            if not fits:
+                break
+            for x in fits:
+                if own[x][0] <= left:
+                    drawn.add(x)
+                    left -= own[x][0]
+        near = [(abs(own[u][0] - left), u) for u in own if u not in drawn and own[u][0] and abs(own[u][0] - left) < left and own[u][0] < 2 * left] if room > 0 else []
+        if near:
+            drawn.add(min(near)[1])
+        for x in own:
+            assert got[x].copies == passes + (x in drawn), (s, x)
+
+
+def spark_hash(spark, source, blocks, seen={}):
+    """The permutation of a source's blocks, as the plan has it."""
+    if (source, blocks) not in seen:
+        h = F.xxhash64(F.lit(42), F.lit("block"), F.lit(source).cast("string"), F.col("id"))
+        seen[source, blocks] = {r.id: (r.p, r.id) for r in spark.range(blocks).select("id", h.alias("p")).collect()}
+    return seen[source, blocks]
