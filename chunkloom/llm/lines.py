@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Table, fresh, mix64, ragged, run_hashes, slices, small_batches
-from .substrings import LAST, list_lengths
+from .common import SPACE, Table, fresh, fresh_root, mix64, ragged, run_hashes, slices, small_batches, with_place
+from .substrings import list_lengths
 
-#: Lines of fewer characters only match if they are equal; characters in a short block.
-SHORT, PIECE = 20, 24
+#: Characters in a short block.
+PIECE = 24
 
 _MARK = np.uint64(0xD6E8FEB86659FD93)
 
@@ -53,7 +53,7 @@ def block_keys(chars: np.ndarray, start: np.ndarray, stop: np.ndarray, shorter:
 
 
 def _lines(df: DataFrame) -> DataFrame:
-    """(doc, row, no, n, line, keys array): every line with a word; keys: its hashes without either half, if it isn't short."""
+    """(doc, row, no, n, line, keys array): every line with a word; keys: its hashes without either half, as the shorter and the longer of a pair."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2):
@@ -69,8 +69,7 @@ def _lines(df: DataFrame) -> DataFrame:
             n = stop - start
             line = _tagged(run_hashes(chars, start, stop), n)
             keys = np.stack([block_keys(chars, start, stop, np.maximum(n - less, 0), np.full(len(i), j), np.full(len(i), 2))[0] for less in (0, 1) for j in (0, 1)], axis=1)
-            long = n >= SHORT
-            arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(4 * long)]), pa.int32()), pa.array(keys[long].reshape(-1).view(np.int64)))
+            arrays = pa.ListArray.from_arrays(pa.array(4 * np.arange(len(i) + 1), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
             doc, key = (part.column(k).to_numpy()[row[i]] for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(no[i], pa.int32()), pa.array(n, pa.int32()), pa.array(line.view(np.int64)), arrays], names=["doc", "row", "no", "n", "line", "keys"])
 
@@ -134,12 +133,9 @@ def _near(pieces: DataFrame) -> DataFrame:
     return found.where(F.levenshtein("piece", "mate.piece", 1) >= 0).select("line").distinct()
 
 
-def repeated_lines(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Texts (doc, row, ...) and (doc, row, no): the lines that an earlier line equals or is one edit from."""
-    spark = df.sparkSession
-    small_batches(spark)
-    doc = F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc")
-    texts = df.select(doc, F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+def repeated_lines(texts: DataFrame) -> DataFrame:
+    """(doc, row, no): the lines of texts (doc, row, text) that an earlier line equals or is one edit from."""
+    small_batches(texts.sparkSession)
     lines = Table(_lines(texts), "lines").df
     place = F.struct("doc", "row", "no")
     distinct = Table(lines.groupBy("line").agg(F.min(place).alias("first"), F.first("keys").alias("keys")), "distinct").df
@@ -149,22 +145,24 @@ def repeated_lines(df: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     near = Table(_near(_with_partner(pieces)), "near").df.withColumn("near", F.lit(True))
     marked = distinct.select("line", "first").join(near, "line", "left")
     gone = lines.select("doc", "row", "no", "line").join(marked, "line").where("near or first.doc <> doc or first.row <> row or first.no <> no")
-    return texts, gone.select("doc", "row", "no")
+    return gone.select("doc", "row", "no")
 
 
 def drop_repeated_lines(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The table with each text without its repeated lines, and the columns n_lines and n_removed (underscores are added to taken names).
 
     Lines are what \\n parts; one without a word (only ASCII blanks) always stays. A line goes if an earlier one,
-    by key, then place in its text, equals it or, if both have SHORT characters or more, is one insertion, deletion or
-    replacement away. That is judged on the input: a line that goes may be what a later one repeats. Null
-    keys come last, rows with equal keys in the order of their texts' hashes; rows that are equal in both count as one, and
-    keep the same lines. A null text stays null, with no lines. The lines of a text that stay keep their order.
+    by key, then place in its text, equals it or is one insertion, deletion or replacement of a character away, however short it is.
+    That is judged on the input: a line that goes may be what a later one repeats. Keys may be of any type that can be sorted. Null
+    keys come last (2^63 - 1 counts as null), rows with equal keys in the order of their texts' hashes; rows that are equal in both count
+    as one, and keep the same lines. A null text stays null, with no lines. The lines of a text that stay keep their order.
     """
-    texts, gone = repeated_lines(df, key=key, text=text)
-    lines, removed, doc, row, drop = (fresh(df, x) for x in ("n_lines", "n_removed", "cl_doc", "cl_row", "cl_drop"))
+    lines, removed = fresh(df, "n_lines"), fresh(df, "n_removed")
+    root = fresh_root(df, "cl", "doc", "doc_key", "row", "drop")
+    doc, row, drop = f"{root}doc", f"{root}row", f"{root}drop"
+    keyed = with_place(df, key, doc).withColumn(row, F.xxhash64(text))
+    gone = repeated_lines(keyed.select(F.col(doc).alias("doc"), F.col(row).alias("row"), F.col(text).alias("text")))
     gone = gone.distinct().groupBy(F.col("doc").alias(doc), F.col("row").alias(row)).agg(F.sort_array(F.collect_list("no")).alias(drop))
-    keyed = df.withColumn(doc, F.coalesce(F.col(key).cast("long"), F.lit(LAST))).withColumn(row, F.xxhash64(text))
     both = keyed.join(gone, [doc, row], "left")
 
     @F.arrow_udf("string")
