@@ -25,11 +25,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, binary_rows, gram_hashes, mix64, ragged, run_hashes, slices, small_batches, span_hashes, text_bytes, word_spans
+from .common import Table, binary_rows, gram_hashes, mix64, ragged, run_hashes, run_sums, slices, small_batches, span_hashes, text_bytes, with_place, word_spans
 
 #: Words in a repeat, words in an anchor, suffixes in a tree.
 WINDOW, GRAM, TREE = 50, 8, 20_000
-LAST = (1 << 63) - 1
 
 
 def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -134,10 +133,11 @@ def _contexts(texts: DataFrame, wanted: DataFrame, window: int, gram: int) -> Da
             place = place + edges[row]
             doc = part.column(1).to_numpy()[row]
             n_left, n_right = around(words, edges, place, window, gram)
+            padded = np.concatenate([np.zeros(before, np.uint64), words, np.zeros(window, np.uint64)])
+            sums = run_sums(words)
             for a in range(0, len(place), 2000):
                 s = slice(a, a + 2000)
                 p, nl, nr, h = place[s], n_left[s], n_right[s], hot[s].astype(bool)
-                padded = np.concatenate([np.zeros(before, np.uint64), words, np.zeros(window, np.uint64)])
                 right = padded[p[:, None] + before + np.arange(window)] * (np.arange(window) < nr[:, None])
                 left = padded[p[:, None] + before - 1 - np.arange(before)] * (np.arange(before) < nl[:, None])
                 both = np.concatenate([right, left], axis=1).astype(np.uint64)
@@ -146,7 +146,7 @@ def _contexts(texts: DataFrame, wanted: DataFrame, window: int, gram: int) -> Da
                 fits = (window - whole <= nl[:, None]) & (whole <= nr[:, None]) & h[:, None]
                 keys = np.zeros(start.shape, np.uint64)
                 if fits.any():
-                    keys[fits] = run_hashes(words, start[fits], start[fits] + window)
+                    keys[fits] = sums(start[fits], start[fits] + window)
                 windows = pa.array([[None if not f else int(x) for f, x in zip(fs, xs)] if q else None for q, fs, xs in zip(h, fits, keys.view(np.int64))], pa.list_(pa.int64()))
                 tree = pa.array([None if q else x.tobytes() for q, x in zip(h, both)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(prefix[s]), pa.array(near[s]), pa.array(doc[s]), pa.array(nl.astype(np.int16)), pa.array(nr.astype(np.int16)), tree, windows], names=["prefix", "around", "doc", "n_left", "n_right", "words", "windows"])
@@ -191,11 +191,12 @@ def _trees(contexts: DataFrame, window: int, gram: int) -> DataFrame:
 def repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """Texts (doc, row, key, text) and spans (doc, row, from, to): words of windows that a document with a smaller key has too.
 
-    Each span is a union of such windows that touch. Rows with one key are one document; null keys count as the largest.
+    Each span is a union of such windows that touch. Rows with one key are one document; null keys count as the largest (and so does 2^63 - 1).
     """
     spark = df.sparkSession
     small_batches(spark)
-    texts = df.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    texts = with_place(rows, "key", "doc").select("doc", F.xxhash64("text").alias("row"), "key", "text")
     suffixes = Table(_suffixes(texts.select("doc", "row", "text"), window, gram), "suffixes").df
     same = suffixes.groupBy("prefix", "around").agg(F.min(F.struct("doc", "row", "place")).alias("first"), F.max("doc").alias("last"))
     same = Table(same.select("prefix", "around", "first", (F.col("last") > F.col("first.doc")).alias("copied")), "same").df
@@ -223,7 +224,7 @@ def drop_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", wind
     A word goes if it lies in `window` words in a row that also stand in a document with a smaller key;
     that is judged on the input. Words are runs of other than the six ASCII blanks. A null or blank text has
     no words. Texts of fewer than `window` words stay whole. Rows come back one for one: rows with one key count as one document (no repeat
-    within it), null keys as the largest. Only key and text are read.
+    within it), null keys as the largest (2^63 - 1 counts as null). Keys may be of any type that can be sorted. Only key and text are read.
     """
     texts, spans = repeats(df, key=key, text=text, window=window, gram=gram)
 
