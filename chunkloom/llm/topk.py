@@ -101,9 +101,9 @@ def best_of_block(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, qu
 def top_k(rows: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k rows of highest integer inner product, ties to the smaller id.
 
-    Components are floor(scale * x); a shorter vector counts as padded with zeros. Rows without an id or a vector, or with a null or
+    Components are floor(scale * x), those beyond 64 bits the largest or smallest number of 64 bits (whose products then are an error); a shorter vector counts as padded with zeros. Rows without an id or a vector, or with a null or
     non-finite component, take no part. A row is no candidate for a query of its own id. Equal query rows count once; queries with
-    one id and different vectors are ranked apart. Rows that repeat are candidates each. Where there are fewer than k candidates, all are returned.
+    one id and different vectors are ranked apart. Only key and vector are read, so other columns' names don't matter. Rows that repeat are candidates each. Where there are fewer than k candidates, all are returned.
     """
     spark = rows.sparkSession
     candidates = whole_numbers(rows, key, vector, scale)
@@ -126,6 +126,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id", v
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["query_id", "tag", "vec_id", "score"])
 
     pairs = packets.join(blocks, "bucket").select(*[c for c in (*packets.columns, *blocks.columns) if c != "bucket"])
+    # a pair is much work and few bytes, so pairs are dealt by number: after the join, tasks are as many as blocks, not as bytes ask for
+    pairs = pairs.repartition(max(buckets, 2 * spark.sparkContext.defaultParallelism))
     found = pairs.mapInArrow(search, "query_id long, tag long, vec_id long, score long")
     order = Window.partitionBy("query_id", "tag").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import lit
 
 from chunkloom.llm import topk
 
@@ -45,3 +46,17 @@ def test_scores_that_do_not_fit_are_an_error():
     big = np.full((2, 2), 1 << 40)
     with pytest.raises(OverflowError):
         list(topk.best_of_block(np.array([1, 2]), big, np.array([5]), big[:1], 3))
+
+
+def test_clashing_columns(spark):
+    rows = vectors(4, n=60)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    extra = df.withColumns({c: lit("x") for c in ("id", "v", "bucket", "score", "rank", "query_id", "cids")})
+    run = lambda df: sorted(map(tuple, topk.top_k(df, df.where("vec_id % 20 = 0"), 5).collect()))
+    assert run(extra) == run(df)
+
+
+def test_huge_components(spark):
+    df = spark.createDataFrame([(0, [1e30]), (1, [2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits|out of range|OVERFLOW"):
+        topk.top_k(df, df.where("vec_id = 0"), 5).collect()
