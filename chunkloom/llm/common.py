@@ -180,13 +180,22 @@ _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: The first powers of a base, which most slices need no more of; kept by each worker, 16 MB for a base at most.
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1), modulo 2**64."""
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-    return out
+    """base**0 ... base**(n-1), modulo 2**64; not to be written to."""
+    kept = _POWERS.get(int(base))
+    if kept is not None and len(kept) >= n:
+        return kept[:n]
+    size = n if n > 1 << 21 else 1 << max(n - 1, 1).bit_length()
+    out = np.full(size, base, np.uint64)
+    out[0] = 1
+    np.multiply.accumulate(out, out=out)
+    if size <= 1 << 21:
+        _POWERS[int(base)] = out
+    return out[:n]
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:

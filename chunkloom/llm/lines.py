@@ -18,20 +18,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Table, fresh, fresh_root, mix64, ragged, run_hashes, slices, small_batches, with_place
+from .common import SPACE, Table, fresh, fresh_root, mix64, ragged, run_sums, slices, small_batches, with_place
 from .substrings import list_lengths
 
 #: Characters in a short block.
 PIECE = 24
 
 _MARK = np.uint64(0xD6E8FEB86659FD93)
+#: What scrambled code points of the first plane are.
+_PLANE = mix64((np.arange(1, (1 << 16) + 1, dtype=np.uint64)) * _MARK)
 
 
 def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Scrambled code points of all texts, and where each text starts (texts + 1 numbers)."""
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     edges = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    return mix64((points.astype(np.uint64) + np.uint64(1)) * _MARK), edges
+    if len(points) and points.max() >> 16:
+        return mix64((points.astype(np.uint64) + np.uint64(1)) * _MARK), edges
+    return _PLANE[points], edges
 
 
 def _tagged(x: np.ndarray, *tags: np.ndarray) -> np.ndarray:
@@ -40,15 +44,14 @@ def _tagged(x: np.ndarray, *tags: np.ndarray) -> np.ndarray:
     return x
 
 
-def block_keys(chars: np.ndarray, start: np.ndarray, stop: np.ndarray, shorter: np.ndarray, block: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_keys(sums, start: np.ndarray, stop: np.ndarray, shorter: np.ndarray, block: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The hash of each line without one block, and where that block starts and stops.
 
     Blocks are those of the shorter line of a pair: `shorter` is its length. What stands before the
-    block counts from the line's start, what stands after it from the line's end.
+    block counts from the line's start, what stands after it from the line's end. sums: run_sums() of all characters.
     """
     head, tail = block * shorter // blocks, shorter - (block + 1) * shorter // blocks
-    before = run_hashes(chars, start, start + head)
-    after = run_hashes(chars, stop - tail, stop)
+    before, after = sums(start, start + head), sums(stop - tail, stop)
     return _tagged(before, after, shorter, block), start + head, stop - tail
 
 
@@ -67,8 +70,9 @@ def _lines(df: DataFrame) -> DataFrame:
             i = np.flatnonzero(spoken)
             start, stop = edges[i], edges[i + 1]
             n = stop - start
-            line = _tagged(run_hashes(chars, start, stop), n)
-            keys = np.stack([block_keys(chars, start, stop, np.maximum(n - less, 0), np.full(len(i), j), np.full(len(i), 2))[0] for less in (0, 1) for j in (0, 1)], axis=1)
+            sums = run_sums(chars)
+            line = _tagged(sums(start, stop), n)
+            keys = np.stack([block_keys(sums, start, stop, np.maximum(n - less, 0), np.full(len(i), j), np.full(len(i), 2))[0] for less in (0, 1) for j in (0, 1)], axis=1)
             arrays = pa.ListArray.from_arrays(pa.array(4 * np.arange(len(i) + 1), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
             doc, key = (part.column(k).to_numpy()[row[i]] for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(no[i], pa.int32()), pa.array(n, pa.int32()), pa.array(line.view(np.int64)), arrays], names=["doc", "row", "no", "n", "line", "keys"])
@@ -93,7 +97,7 @@ def _pieces(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             pick = np.repeat(np.arange(len(which)), blocks)
             block = ragged(np.zeros(len(which), np.int64), blocks)
             which, shorter, longer = which[pick], shorter[pick], longer[pick]
-            key, a, b = block_keys(chars, start[which], stop[which], shorter, block, blocks[pick])
+            key, a, b = block_keys(run_sums(chars), start[which], stop[which], shorter, block, blocks[pick])
             at = start[which]
             piece = [lines[w][i:j] for w, i, j in zip(which.tolist(), (a - at).tolist(), (b - at).tolist())]
             doc, row = (part.column(k).to_numpy()[owner][which] for k in (1, 2))
@@ -141,8 +145,9 @@ def repeated_lines(texts: DataFrame) -> DataFrame:
     distinct = Table(lines.groupBy("line").agg(F.min(place).alias("first"), F.first("keys").alias("keys")), "distinct").df
     keyed = distinct.select("line", F.explode("keys").alias("key"))
     wanted = distinct.select("line", "first").join(_with_partner(keyed).select("line").distinct(), "line", "left_semi")
-    pieces = Table(_pieces(texts, wanted), "pieces").df
-    near = Table(_near(_with_partner(pieces)), "near").df.withColumn("near", F.lit(True))
+    pieces = Table(_pieces(texts, wanted), "pieces")
+    near = Table(_near(_with_partner(pieces.df)), "near").df.withColumn("near", F.lit(True))
+    pieces.drop()
     marked = distinct.select("line", "first").join(near, "line", "left")
     gone = lines.select("doc", "row", "no", "line").join(marked, "line").where("near or first.doc <> doc or first.row <> row or first.no <> no")
     return gone.select("doc", "row", "no")
