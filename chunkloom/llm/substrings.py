@@ -199,10 +199,13 @@ def repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", window: i
     texts = with_place(rows, "key", "doc").select("doc", F.xxhash64("text").alias("row"), "key", "text")
     suffixes = Table(_suffixes(texts.select("doc", "row", "text"), window, gram), "suffixes").df
     same = suffixes.groupBy("prefix", "around").agg(F.min(F.struct("doc", "row", "place")).alias("first"), F.max("doc").alias("last"))
-    same = Table(same.select("prefix", "around", "first", (F.col("last") > F.col("first.doc")).alias("copied")), "same").df
+    kept = Table(same.select("prefix", "around", "first", (F.col("last") > F.col("first.doc")).alias("copied")), "same")
+    same = kept.df
     groups = same.groupBy("prefix").agg(F.count("*").alias("n"), F.min("first.doc").alias("a"), F.max("first.doc").alias("b")).where("n > 1 and a < b")
+    groups = Table(groups.select("prefix", "n"), "groups").df  # so that a hot prefix can be split in the join
     wanted = same.join(groups, "prefix").select("first.*", "prefix", "around", (F.col("n") > TREE).alias("hot"))
-    contexts = Table(_contexts(texts.select("doc", "row", "text"), wanted, window, gram), "contexts").df
+    around_ = Table(_contexts(texts.select("doc", "row", "text"), wanted, window, gram), "contexts")
+    contexts = around_.df
     parts = _trees(contexts.where("words is not null"), window, gram)
     hot = contexts.where("windows is not null").select("prefix", "around", "doc", F.posexplode("windows").alias("at", "key")).where("key is not null")
     smallest = hot.groupBy("key").agg(F.min("doc").alias("smallest"), F.max("doc").alias("largest")).where("smallest < largest").select("key", "smallest")
@@ -212,6 +215,8 @@ def repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", window: i
     found = same.join(parts.unionByName(long_prefix), ["prefix", "around"], "left").where("copied or least is not null")
     found = found.select("prefix", "around", F.col("first.doc").alias("smallest"), F.coalesce("least", F.lit(0)).alias("least"), F.coalesce("most", F.lit(0)).alias("most"))
     found = Table(found, "found").df  # so that both sides of the next join are exchanged anew, and a hot context can be split
+    kept.drop()
+    around_.drop()
     here = suffixes.join(found, ["prefix", "around"])
     later = F.col("doc") > F.col("smallest")
     spans = here.where((later & (F.col("n_left") + F.col("n_right") >= window)) | (~later & (F.col("least") > 0)))

@@ -68,3 +68,10 @@ def test_windows_of_fifty_words_and_a_long_text(spark):
 
 def test_empty_table(spark):
     assert ss.drop_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_keys_of_other_types(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [("b", f"x {text}"), ("a", f"{text} y"), (None, text), ("", "short")]
+    got = {r.doc_id: r.n_removed for r in ss.drop_repeats(spark.createDataFrame(rows, "doc_id string, text string"), window=W, gram=G).collect()}
+    assert got == {"b": 20, "a": 0, None: 20, "": 0}
