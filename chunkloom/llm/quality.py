@@ -5,6 +5,10 @@ All of it is column expressions over one text: no shuffle, no Python on the exec
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,48 +56,63 @@ def repeated_words(w: Column) -> Column:
     return F.when(F.size(w) < 3, F.lit(0).cast("long")).otherwise(count)
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line breaks a rule of punctuation, navigation, boilerplate or repetition; a line without words doesn't."""
+def line_fails(line: Column, w: Column, boilerplate: Column) -> Column:
+    """Whether a line breaks a rule of punctuation, navigation, boilerplate or repetition; a line without words doesn't.
+
+    w: the line's words; boilerplate: false only if no line of the text can have any.
+    """
     b = BOUNDS
+    n = F.size(w)
+    menu = F.size(F.filter(w, lambda x: (F.length(x) == 1) & F.lit(MENU).contains(x)))
+    return (n > 0) & (
+        (occurrences(line, SYMBOLS) * 100 > (F.length(line) - F.regexp_count(line, F.lit(f"[{SPACE}]"))) * b["symbols"])
+        | (occurrences(line, "!?") > n * b["marks"])
+        | ((menu >= b["signs"]) & (menu * 100 >= n * b["menu"]))
+        | ((n >= b["long"]) & (F.size(F.array_distinct(w)) * 100 < n * b["varied"]))
+        | (boilerplate & (n <= b["boilerplate"]) & F.lower(line).rlike(BOILERPLATE))
+    )
 
-    def rules(w: Column) -> Column:
-        n = F.size(w)
-        menu = F.size(F.filter(w, lambda x: (F.length(x) == 1) & F.lit(MENU).contains(x)))
-        return (n > 0) & (
-            (occurrences(line, SYMBOLS) * 100 > (F.length(line) - F.regexp_count(line, F.lit(f"[{SPACE}]"))) * b["symbols"])
-            | (occurrences(line, "!?") > n * b["marks"])
-            | ((menu >= b["signs"]) & (menu * 100 >= n * b["menu"]))
-            | ((n >= b["long"]) & (F.size(F.array_distinct(w)) * 100 < n * b["varied"]))
-            | ((n <= b["boilerplate"]) & F.lower(line).rlike(BOILERPLATE))
-        )
 
-    return let(words(line), rules)
+def may_have_boilerplate(text: Column) -> Column:
+    """Whether a text has the plain beginning of any of the patterns, which is quicker to see than a match."""
+    beginnings = [x.split("(")[0] for x in re.split(r"\|(?![^(]*\))", BOILERPLATE)]
+    return let(F.lower(text), lambda x: reduce(or_, [x.contains(b) for b in beginnings]))
 
 
 def measures(text: Column) -> Column:
-    """All figures of a text as a struct, with the text that stays and the verdict; null counts as empty."""
+    """All figures of a text as a struct, with the text that stays and the verdict; null counts as empty.
+
+    A line's end parts words, too, so a text's words are those of its lines: texts are split once, by lines and then words.
+    """
     text = F.coalesce(text, F.lit(""))
-    lines = F.split(text, "\n")
-    spoken = F.filter(lines, lambda x: x.rlike(f"[^{SPACE}]"))
 
-    def figures(w: Column) -> Column:
-        n = F.size(w).cast("long")
+    def figures(lines: Column, w: Column) -> Column:
+        spoken = F.transform(F.filter(lines, lambda x: x["n"] > 0), lambda x: x["line"])
+        stays = F.array_join(F.transform(F.filter(lines, lambda x: ~x["bad"]), lambda x: x["line"]), "\n")
         return F.struct(
-            n.alias("n_words"),
+            F.size(w).cast("long").alias("n_words"),
             (F.length(text) - F.regexp_count(text, F.lit(f"[{SPACE}]"))).cast("long").alias("word_chars"),
             occurrences(text, SYMBOLS).alias("n_symbols"),
             let(spoken, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
             repeated_words(w).alias("n_repeat_words"),
-            F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n").alias("kept_text"),
+            F.aggregate(lines, F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["bad"], x["n"]).otherwise(0)).alias("n_lost"),
+            F.when(F.exists(lines, lambda x: x["bad"]), stays).otherwise(text).alias("kept_text"),
         )
 
+    def marked(lines: Column, boilerplate: Column) -> Column:
+        return F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.size(x["w"]).alias("n"), line_fails(x["line"], x["w"], boilerplate).alias("bad")))
+
+    def of(lines: Column) -> Column:
+        all_words = F.flatten(F.transform(lines, lambda x: x["w"]))
+        return let(let(may_have_boilerplate(text), lambda m: marked(lines, m)), lambda x: let(all_words, lambda w: figures(x, w)))
+
     def verdict(f: Column) -> Column:
         base = (f["n_words"] < 50) | (f["n_repeat_words"] * 100 > f["n_words"] * 50)
-        kept_words = F.size(words(f["kept_text"])).cast("long")
-        lost = (f["n_words"] - kept_words) * 100 > f["n_words"] * BOUNDS["lost"]
+        lost = f["n_lost"] * 100 > f["n_words"] * BOUNDS["lost"]
         return F.struct(*[f[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], base.alias("base_failed"), (~base & ~lost).alias("kept"), f["kept_text"].alias("kept_text"))
 
-    return let(let(words(text), figures), verdict)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), words(x).alias("w")))
+    return let(let(lines, of), verdict)
 
 
 def assess(df: DataFrame, *, text: str = "text", into: str = "quality") -> DataFrame:
