@@ -125,9 +125,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id", v
                 columns = [np.repeat(query_ids[[x[0] for x in found]], sizes), np.repeat(np.array(tag, np.int64), sizes), np.concatenate([x[1] for x in found]), np.concatenate([x[2] for x in found])]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["query_id", "tag", "vec_id", "score"])
 
-    pairs = packets.join(blocks, "bucket").select(*[c for c in (*packets.columns, *blocks.columns) if c != "bucket"])
-    # a pair is much work and few bytes, so pairs are dealt by number: after the join, tasks are as many as blocks, not as bytes ask for
-    pairs = pairs.repartition(max(buckets, 2 * spark.sparkContext.defaultParallelism))
+    pairs = packets.join(blocks, "bucket")
+    # a pair is much work and few bytes, so tasks are as many as pairs ask for, not bytes; a packet's pairs go to tasks one after another
+    tasks = max(buckets, 2 * spark.sparkContext.defaultParallelism)
+    pairs = pairs.repartitionById(tasks, F.pmod(F.col("bucket") + F.xxhash64("qids"), F.lit(tasks)).cast("int")).drop("bucket")
     found = pairs.mapInArrow(search, "query_id long, tag long, vec_id long, score long")
     order = Window.partitionBy("query_id", "tag").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
