@@ -192,3 +192,18 @@ def op8_lines(spark, sf_dir: str) -> DataFrame:
     """Per document: lines with a word, lines removed, and the SHA-256 of the text that stays."""
     found = drop_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+#: The same by SQL: lines that lose the same character's place and are equal then differ there alone; a line that loses any may be a shorter one.
+ORACLE = r"""
+WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS no, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+s AS (SELECT *, regexp_matches(line, '[^ \t-\r]') AS spoken FROM l),
+u AS (SELECT row_number() OVER () AS id, line, first, length(line) AS n, hash(line) AS x FROM (SELECT line, min((doc_id, no)) AS first FROM s WHERE spoken GROUP BY line)),
+v AS (SELECT id, first, n, i, hash(substring(line, 1, i) || substring(line, i + 2)) AS x FROM (SELECT *, unnest(range(n)) AS i FROM u)),
+g AS (SELECT n, i, x, min(first) AS m FROM v GROUP BY n, i, x HAVING count(*) > 1),
+near AS (SELECT v.id FROM v JOIN g ON v.n = g.n AND v.i = g.i AND v.x = g.x WHERE m < first
+  UNION SELECT v.id FROM v JOIN u ON v.x = u.x AND v.n = u.n + 1 WHERE u.first < v.first
+  UNION SELECT u.id FROM v JOIN u ON v.x = u.x AND v.n = u.n + 1 WHERE v.first < u.first),
+r AS (SELECT s.doc_id, s.no, s.line, s.spoken, coalesce((s.doc_id, s.no) > u.first OR near.id IS NOT NULL, false) AS gone FROM s LEFT JOIN u ON s.spoken AND s.line = u.line LEFT JOIN near ON u.id = near.id)
+SELECT doc_id, (count(*) FILTER (spoken))::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS kept_sha256 FROM r GROUP BY doc_id"""

@@ -266,3 +266,13 @@ def drop_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", wind
 def op10_substrings(spark, sf_dir: str) -> DataFrame:
     found = drop_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = f"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS j FROM w),
+h AS (SELECT doc_id, j, ws[j] AS word, CASE WHEN j + {WINDOW - 1} <= len(ws) THEN hash(ws[j:j + {WINDOW - 1}]) END AS x FROM p),
+f AS (SELECT x, min(doc_id) AS first FROM h WHERE x IS NOT NULL GROUP BY x HAVING count(*) > 1),
+c AS (SELECT doc_id, j, word, coalesce(max((first < doc_id)::INT) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW), 0) = 1 AS gone FROM h LEFT JOIN f USING (x))
+SELECT doc_id, count(word) AS n_words, coalesce(count(*) FILTER (gone), 0)::BIGINT AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY j) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents LEFT JOIN c USING (doc_id) GROUP BY doc_id"""
