@@ -422,8 +422,7 @@ def _similar(df: DataFrame, rows: DataFrame, key: str, text: str, shingle: int,
     banded = Table(banded.join(several, "band"), "bands").df
     banded = banded.join(banded.groupBy("node").agg(F.sum("m").alias("meets")), "node").drop("m")
     sets = _sets(df, nodes, banded.select("node").unionByName(tried.select(F.explode(F.array("u", "v")).alias("node"))), key, text, shingle, seed)
-    links = _same_shingles(tried, sets, similarity)
-    roots, turn = components(links).df, 0
+    roots, turn = components(_same_shingles(tried, sets, similarity)).df, 0
     while True:
         named = Table(banded.join(roots, "node", "left").select("band", "node", "n", "meets", F.coalesce("root", "node").alias("root")), "named")
         rank = F.xxhash64(F.lit(turn), "band", "node") if turn else F.col("meets")
@@ -438,8 +437,7 @@ def _similar(df: DataFrame, rows: DataFrame, key: str, text: str, shingle: int,
         centres.drop()
         turn += 1
         if not new.isEmpty():
-            links = links.unionByName(new)
-            roots = components(links).df
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new)).df
         elif turn > 1:
             break
         tried = tried.unionByName(pairs)
