@@ -124,7 +124,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         else:
             print("\n".join(f"{k}: {v}" for k, v in archive.describe(opened.dictionary)))
     elif a.command == "clone":
-        if os.path.exists(a.output) and not (a.force_create or a.seed_output):
+        if os.path.isfile(a.output) and not (a.force_create or a.seed_output):
             raise SystemExit(f"{a.output} exists")
         opened = archive.open_archive(spark, a.archive, a.buzhash_table, **_options(a))
         log.info("%d chunks to place, header %s", len(opened.dictionary.rebuild_order), opened.dictionary.header_checksum.hex())

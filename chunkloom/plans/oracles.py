@@ -118,6 +118,14 @@ ORACLES = {
     "blake2_identity": _rolled("documents", "doc_id", "text", """SELECT k AS doc_id, seq, "offset", length, 32::BIGINT AS hash_bytes, first(k) OVER w AS first_doc, first(seq) OVER w AS first_seq FROM o WINDOW w AS (PARTITION BY hash ORDER BY k, seq)"""),
     "reorder_ops": "SELECT coalesce(source, '') AS archive_id, sum(octet_length(encode(text)))::BIGINT AS size, sha256(string_agg(text, '' ORDER BY octet_length(encode(text)), doc_id)) AS hash FROM documents WHERE text <> '' GROUP BY 1",
     "archive_roundtrip": "SELECT way, size, hash FROM (SELECT sum(octet_length(encode(text)))::BIGINT AS size, sha256(string_agg(text, '' ORDER BY doc_id)) AS hash FROM documents), (VALUES ('files'), ('cloned'), ('in_place'), ('source'), ('fetched')) v(way)",
+    "header_roundtrip": f"""WITH {FIXED}, a AS (SELECT archive_id, idx, hash, source_size, occurrences, coalesce(sum(source_size) OVER (PARTITION BY archive_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS archive_offset, (sum(source_size * occurrences) OVER (PARTITION BY archive_id))::BIGINT AS total FROM dict)
+      SELECT archive_id, 0::BIGINT AS header_excess, 0::BIGINT AS payload_excess, total, true AS checked, idx, hash, archive_offset, source_size AS archive_size, source_size, occurrences AS places FROM a""",
+    "range_reads": """SELECT doc_id, coalesce(sum(octet_length(encode(text))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", octet_length(encode(text))::BIGINT AS size, sha256(text) AS hash FROM documents WHERE text <> ''""",
+    "chunker_params": """SELECT average::BIGINT AS average, algorithm, CASE WHEN fixed THEN 0 ELSE floor(log2(average)) - 1 END::BIGINT AS filter_bits, CASE WHEN fixed THEN 0 ELSE average // 4 END::BIGINT AS min_size,
+      CASE WHEN fixed THEN average ELSE average * 256 END::BIGINT AS max_size, CASE algorithm WHEN 'fixed' THEN 0 WHEN 'rollsum' THEN 64 ELSE 16 END::BIGINT AS window_size, CASE WHEN fixed THEN 64 ELSE 4 + k END::BIGINT AS hash_length,
+      CASE WHEN NOT fixed THEN pow(2, floor(log2(average)))::BIGINT END AS target_average, true AS same
+      FROM (SELECT *, algorithm = 'fixed' AS fixed FROM (VALUES (0, 4), (1, 255), (2, 256), (3, 1000), (4, 65536), (5, 1048576)) a(k, average), (VALUES ('rollsum'), ('buzhash'), ('fixed')) b(algorithm))""",
+    "codec_levels": "SELECT codec, level::BIGINT AS level, level BETWEEN 1 AND highest AS accepted FROM (VALUES ('brotli', 11), ('lzma', 9), ('zstd', 22), ('gzip', 0)) c(codec, highest), range(-1, 25) r(level)",
     "compress_roundtrip": "SELECT doc_id, codec, sha256(coalesce(text, '')) AS hash FROM documents, (VALUES ('none'), ('brotli'), ('zstd'), ('lzma')) v(codec)",
     "streaming_dedup": _rolled("documents", "doc_id", "text", "SELECT DISTINCT hash, length FROM o"),
     "streaming_segments": f"""WITH t AS (SELECT conv_id, encode(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS b FROM conversations GROUP BY 1)

@@ -8,15 +8,18 @@ from __future__ import annotations
 
 import hashlib
 import os
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkloom.config import ArchiveOptions, ChunkerConfig, Compression
+from chunkloom.errors import CompressionError
 from chunkloom.functions import codecs, hashes, sizes
 from chunkloom.operators import chunking, clone, dictionary, diff, reorder
-from chunkloom.sources import archive
+from chunkloom.sources import archive, header
+from chunkloom.sources.ranges import ByteReader, resolve
 from chunkloom.sources.shared import local_path, shared_folder, write_at
 
 #: Fixed chunk size, and small rolling chunks, for texts of a few kilobytes.
@@ -348,6 +351,72 @@ def archive_roundtrip(spark, sf_dir):
     return spark.createDataFrame(rows, "way string, size long, hash string").unionByName(fetched)
 
 
+def header_roundtrip(spark, sf_dir):
+    """The archive header of each source, built and parsed again: what it then says of every chunk, and of the archive."""
+    cut, numbered, _ = _layout(spark, sf_dir)
+    placed = dictionary.archive_layout(numbered, "source_size").join(numbered.select("archive_id", "idx", "source_size"), ["archive_id", "idx"])
+    order = dictionary.rebuild_order(cut, numbered).groupBy("archive_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "idx"))), lambda x: x["idx"]).alias("order"))
+    rows = placed.groupBy("archive_id").agg(F.sort_array(F.collect_list(F.struct("idx", "hash", "archive_size", "archive_offset", "source_size"))).alias("chunks")).join(order, "archive_id")
+
+    @F.arrow_udf("struct<header_size:long,payload_offset:long,source_size:long,checked:boolean,chunks:array<struct<idx:long,hash:binary,archive_offset:long,archive_size:long,source_size:long,places:long>>>")
+    def parsed(name: pa.Array, chunks: pa.Array, order: pa.Array) -> pa.Array:
+        out = []
+        for archive_id, cs, places in zip(name.to_pylist(), chunks.to_pylist(), order.to_pylist()):
+            d = header.Dictionary(b"x", sum(cs[i]["source_size"] for i in places), ChunkerConfig.fixed(SIZE), Compression(None), places, cs, {"name": archive_id.encode()}, "1")
+            data = header.build(d)
+            back = header.parse(lambda offset, size: data[offset : offset + size])  # noqa: B023
+            n = Counter(back.rebuild_order)
+            found = [{"idx": k, "hash": c["hash"], "archive_offset": c["archive_offset"] - back.payload_offset, "archive_size": c["archive_size"], "source_size": c["source_size"], "places": n[k]} for k, c in enumerate(back.descriptors)]
+            same = (back.chunker, back.compression, back.metadata_value("name").decode(), back.rebuild_order, data[-64:]) == (d.chunker, d.compression, archive_id, places, back.header_checksum)
+            out.append({"header_size": back.header_size - len(data), "payload_offset": back.payload_offset - len(data), "source_size": back.source_total_size, "checked": same, "chunks": found})
+        kind = pa.struct([("idx", pa.int64()), ("hash", pa.binary()), ("archive_offset", pa.int64()), ("archive_size", pa.int64()), ("source_size", pa.int64()), ("places", pa.int64())])
+        return pa.array(out, pa.struct([("header_size", pa.int64()), ("payload_offset", pa.int64()), ("source_size", pa.int64()), ("checked", pa.bool_()), ("chunks", pa.list_(kind))]))
+
+    found = rows.select("archive_id", parsed("archive_id", "chunks", "order").alias("x"))
+    named = found.select("archive_id", F.col("x.header_size").alias("header_excess"), F.col("x.payload_offset").alias("payload_excess"), F.col("x.source_size").alias("total"), "x.checked", F.explode("x.chunks").alias("c"))
+    return _hex(named.select("archive_id", "header_excess", "payload_excess", "total", "checked", "c.*"))
+
+
+def range_reads(spark, sf_dir):
+    """Every document read back as a byte range of one file that holds all of them."""
+    folder = local_path(shared_folder(spark, "ranges"))
+    d = _files(spark, sf_dir).where("length(content) > 0").select(F.lit(0).alias("g"), F.col("file_id").alias("doc_id"), F.col("content").cast("binary").alias("data")).withColumn("n", F.length("data").cast("long"))
+    placed = dictionary.running(d, ["g"], ["doc_id"], {"offset": F.col("n")})
+    open(f"{folder}/all", "wb").close()
+    write_at(placed, f"{folder}/all")
+    reader = ByteReader(resolve(f"{folder}/all"))
+
+    @F.arrow_udf("binary")
+    def read(offset: pa.Array, size: pa.Array) -> pa.Array:
+        return pa.array([reader.read(a, n) for a, n in zip(offset.to_pylist(), size.to_pylist())], pa.binary())
+
+    return placed.select("doc_id", "offset", F.col("n").alias("size"), read("offset", "n").alias("data")).select("doc_id", "offset", "size", F.sha2("data", 256).alias("hash"))
+
+
+def chunker_params(spark, sf_dir):
+    """Parameters of chunkers by sizes, as archives have them and back; sizes that don't fit are refused."""
+    rows = []
+    for k, average in enumerate((4, 255, 256, 1000, 64 << 10, 1 << 20)):
+        for algorithm in ("rollsum", "buzhash", "fixed"):
+            c = ChunkerConfig.fixed(average) if algorithm == "fixed" else ChunkerConfig.rolling(algorithm, average, average // 4, average * 256, hash_length=4 + k)
+            p = c.to_params()
+            same = ChunkerConfig.from_params(p) == c
+            rows.append((average, algorithm, p["filter_bits"], p["min_size"], p["max_size"], p["window_size"], p["hash_length"], None if algorithm == "fixed" else c.target_average, same))
+    return spark.createDataFrame(rows, "average long, algorithm string, filter_bits long, min_size long, max_size long, window_size long, hash_length long, target_average long, same boolean")
+
+
+def codec_levels(spark, sf_dir):
+    """Which levels each codec accepts."""
+
+    def accepted(codec: str, level: int) -> bool:
+        try:
+            return Compression(codec, level).level == level
+        except CompressionError:
+            return False
+
+    return spark.createDataFrame([(c, n, accepted(c, n)) for c in ("brotli", "lzma", "zstd", "gzip") for n in range(-1, 25)], "codec string, level long, accepted boolean")
+
+
 def streaming_dedup(spark, sf_dir):
     """Documents as a stream, deduplicated chunk by chunk as they arrive."""
     from chunkloom.streaming.arriving import deduplicate
@@ -383,7 +452,7 @@ QUERIES = {
         unique_chunks, rebuild_order, source_layout, archive_layout, chunk_index, truncated_identity, truncation_collisions, prefix_equality,
         reassemble_verify, provider_precedence, seed_matches, missing_chunks, clone_counters, in_place, remaining_offsets, overlap_pairs,
         reorder_ops, range_requests, diff_classes, diff_summary, set_operations, info_report, human_size, parse_size, hex_roundtrip,
-        metadata_lookup, codec_marker, compress_roundtrip, blake2_identity, archive_roundtrip, streaming_dedup, streaming_segments,
+        metadata_lookup, codec_marker, compress_roundtrip, blake2_identity, archive_roundtrip, header_roundtrip, range_reads, chunker_params, codec_levels, streaming_dedup, streaming_segments,
     )
 }
 

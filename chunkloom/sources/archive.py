@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import os
 import shutil
+import stat
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,7 +45,7 @@ def from_bytes(spark: SparkSession, data: bytes, file_id: int = 0) -> DataFrame:
 
 def file_splits(spark: SparkSession, source: str, size: int = SPLIT) -> DataFrame:
     """(file_id, split_offset, content) of a file of any length, read in splits on the executors, which must see its path."""
-    reader, length = ByteReader(resolve(source)), os.path.getsize(source)
+    reader, length = ByteReader(resolve(source)), _length(source)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,7 +69,7 @@ def source_of(spark: SparkSession, data: bytes | str | DataFrame) -> DataFrame:
     if isinstance(data, bytes):
         return from_bytes(spark, data)
     if isinstance(data, str):
-        if os.path.getsize(data) > WHOLE:
+        if _length(data) > WHOLE:
             return file_splits(spark, data)
         with open(data, "rb") as file:
             return from_bytes(spark, file.read())
@@ -157,14 +158,17 @@ class Archive:
     @property
     def descriptors(self) -> DataFrame:
         """(archive_id, idx, hash, source_size, archive_size, archive_offset)"""
-        rows = [(0, k, bytearray(c["hash"]), c["source_size"], c["archive_size"], c["archive_offset"]) for k, c in enumerate(self.dictionary.descriptors)]
-        return self.spark.createDataFrame(rows, "archive_id int, idx long, hash binary, source_size long, archive_size long, archive_offset long")
+        d = self.dictionary.descriptors
+        numbers = {c: pa.array([x[c] for x in d], pa.int64()) for c in ("source_size", "archive_size", "archive_offset")}
+        columns = {"archive_id": pa.array([0] * len(d), pa.int32()), "idx": pa.array(range(len(d)), pa.int64()), "hash": pa.array([x["hash"] for x in d], pa.binary())}
+        return self.spark.createDataFrame(pa.table(columns | numbers))
 
     @property
     def layout(self) -> DataFrame:
         """(archive_id, pos, idx, offset, length, hash): the source, chunk by chunk."""
-        order = self.spark.createDataFrame([(0, k, i) for k, i in enumerate(self.dictionary.rebuild_order)], "archive_id int, pos long, idx long")
-        return dictionary.source_layout(order, self.descriptors)
+        order = self.dictionary.rebuild_order
+        columns = {"archive_id": pa.array([0] * len(order), pa.int32()), "pos": pa.array(range(len(order)), pa.int64()), "idx": pa.array(order, pa.int64())}
+        return dictionary.source_layout(self.spark.createDataFrame(pa.table(columns)), self.descriptors)
 
     def fetch(self, needed: DataFrame | None = None) -> DataFrame:
         """(idx, hash, data) of the chunks whose hashes are needed (all if None), verified. A damaged chunk fails the query."""
@@ -256,14 +260,25 @@ def _seeded(spark: SparkSession, config: header.ChunkerConfig, seeds: list[tuple
     return have
 
 
-def _file_checksum(path: str) -> bytes:
+def _file_checksum(path: str, size: int) -> bytes:
     whole = hashlib.blake2b()
     with open(path, "rb") as file:
-        while block := file.read(1 << 22):
+        while size and (block := file.read(min(size, 1 << 22))):
             whole.update(block)
+            size -= len(block)
     return whole.digest()
 
 
+def _is_device(path: str) -> bool:
+    return os.path.exists(path) and stat.S_ISBLK(os.stat(path).st_mode)
+
+
+def _length(path: str) -> int:
+    """Bytes of a file or a block device."""
+    with open(path, "rb") as file:
+        return file.seek(0, os.SEEK_END)
+
+
 def _moved(archive: Archive, path: str) -> tuple[DataFrame, list[dict]]:
     """Bring what a file holds of an archive's chunks where it belongs, in the file; returns the places that are still to be filled, and what was done."""
     spark, d = archive.spark, archive.dictionary
@@ -294,16 +309,21 @@ def clone_archive(archive: Archive, seeds: list[tuple[str, bytes | str | DataFra
 
     Chunks come from the first seed that has them, the rest from the archive; the executors, which must see the path, write them
     at their offsets, and the file is put in place when it is whole. in_place: the output is the first seed and is rearranged as it lies, in
-    the memory that circles of moves need, so no second copy is written; a run that is stopped then leaves a mixture. Returns what each provider gave.
+    the memory that circles of moves need, so no second copy is written; a run that is stopped then leaves a mixture. A block device, which
+    must be large enough, is written as it lies, too. Returns what each provider gave.
     """
     spark, d = archive.spark, archive.dictionary
     if expected_header is not None and expected_header != d.header_checksum:
         raise HashMismatchError("the header's checksum is not the expected one")
     path, used = os.path.abspath(path), []
     needed = archive.layout.select("archive_id", "hash", "length", "offset")
-    if in_place:
+    device = _is_device(path)
+    if device and _length(path) < d.source_total_size:
+        raise ArchiveError(f"{path} has less than {d.source_total_size} bytes")
+    if in_place or device:
         part = path
-        needed, used = _moved(archive, path)
+        if in_place:
+            needed, used = _moved(archive, path)
     else:
         part = f"{path}.{uuid.uuid4().hex}.part"
         open(part, "wb").close()
@@ -313,14 +333,15 @@ def clone_archive(archive: Archive, seeds: list[tuple[str, bytes | str | DataFra
     local = have.groupBy("hash").agg(F.min_by("data", "rank").alias("data"))
     pieces = needed.join(local.unionByName(archive.fetch(missing).select("hash", "data")), "hash").select("offset", "data")
     try:
-        os.truncate(part, d.source_total_size)
+        if not device:
+            os.truncate(part, d.source_total_size)
         written = write_at(pieces, part) + sum(u["bytes_written"] or u["bytes_fed"] for u in used)
-        if written != d.source_total_size or (verify and _file_checksum(part)[: len(d.source_checksum)] != d.source_checksum):
+        if written != d.source_total_size or (verify and _file_checksum(part, d.source_total_size)[: len(d.source_checksum)] != d.source_checksum):
             raise HashMismatchError("what was rebuilt is not the source")
-        if not in_place:
+        if part != path:
             os.replace(part, path)
     finally:
-        if not in_place and os.path.exists(part):
+        if part != path and os.path.exists(part):
             os.remove(part)
     return used + [r.asDict() for r in clone.counters(placed).orderBy("provider").collect()]
 

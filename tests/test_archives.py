@@ -234,3 +234,17 @@ def test_in_place(spark, tmp_path, k):
     (tmp_path / "a").write_bytes(bytes(damaged))
     with pytest.raises((HashMismatchError, PySparkException)):
         archive.clone_archive(archive.open_archive(spark, str(tmp_path / "a")), [], str(out), in_place=True)
+
+
+def test_a_device_is_written_as_it_lies(spark, tmp_path, made, monkeypatch):
+    monkeypatch.setattr(archive, "_is_device", lambda path: True)
+    opened, out = archive.open_archive(spark, made), tmp_path / "dev"
+    out.write_bytes(b"y" * (len(MIXED) + 100))
+    archive.clone_archive(opened, [("s", DATA)], str(out))
+    assert out.read_bytes() == MIXED + b"y" * 100
+    out.write_bytes(MIXED[700:] + b"y" * 800)
+    archive.clone_archive(opened, [], str(out), in_place=True)
+    assert out.read_bytes()[: len(MIXED)] == MIXED and out.stat().st_size == len(MIXED) + 100
+    out.write_bytes(b"short")
+    with pytest.raises(ArchiveError):
+        archive.clone_archive(opened, [], str(out))
