@@ -29,7 +29,7 @@ BOUNDS = {"symbols": 10, "marks": 1, "signs": 3, "menu": 20, "long": 10, "varied
 
 def words(text: Column) -> Column:
     """The words of a text in order: runs of other than the six ASCII blanks."""
-    return F.filter(F.split(text, BLANKS), lambda x: x != "")
+    return let(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, BLANKS)))
 
 
 def occurrences(text: Column, characters: str) -> Column:
@@ -56,29 +56,27 @@ def repeated_words(w: Column) -> Column:
     return F.when(F.size(w) < 3, F.lit(0).cast("long")).otherwise(count)
 
 
-def line_fails(line: Column, w: Column, boilerplate: Column) -> Column:
-    """Whether a line breaks a rule of punctuation, navigation, boilerplate or repetition; a line without words doesn't.
+def signs(text: Column) -> Column:
+    """What a text has at all, so that no line is asked for what the text has not: symbols (how many), marks, menu, boilerplate."""
+    have = lambda x, parts: reduce(or_, [x.contains(p) for p in parts])
+    beginnings = [x.split("(")[0] for x in re.split(r"\|(?![^(]*\))", BOILERPLATE)]
+    return F.struct(occurrences(text, SYMBOLS).alias("symbols"), have(text, "!?").alias("marks"), have(text, MENU).alias("menu"), let(F.lower(text), lambda x: have(x, beginnings)).alias("boilerplate"))
 
-    w: the line's words; boilerplate: false only if no line of the text can have any.
-    """
+
+def line_fails(line: Column, w: Column, has: Column) -> Column:
+    """Whether a line (w: its words, has: signs() of its text) breaks a rule of punctuation, navigation, boilerplate or repetition; a line without words doesn't."""
     b = BOUNDS
     n = F.size(w)
     menu = F.size(F.filter(w, lambda x: (F.length(x) == 1) & F.lit(MENU).contains(x)))
     return (n > 0) & (
-        (occurrences(line, SYMBOLS) * 100 > (F.length(line) - F.regexp_count(line, F.lit(f"[{SPACE}]"))) * b["symbols"])
-        | (occurrences(line, "!?") > n * b["marks"])
-        | ((menu >= b["signs"]) & (menu * 100 >= n * b["menu"]))
+        ((has["symbols"] > 0) & (occurrences(line, SYMBOLS) * 100 > (F.length(line) - F.regexp_count(line, F.lit(f"[{SPACE}]"))) * b["symbols"]))
+        | (has["marks"] & (occurrences(line, "!?") > n * b["marks"]))
+        | (has["menu"] & let(menu, lambda m: (m >= b["signs"]) & (m * 100 >= n * b["menu"])))
         | ((n >= b["long"]) & (F.size(F.array_distinct(w)) * 100 < n * b["varied"]))
-        | (boilerplate & (n <= b["boilerplate"]) & F.lower(line).rlike(BOILERPLATE))
+        | (has["boilerplate"] & (n <= b["boilerplate"]) & F.lower(line).rlike(BOILERPLATE))
     )
 
 
-def may_have_boilerplate(text: Column) -> Column:
-    """Whether a text has the plain beginning of any of the patterns, which is quicker to see than a match."""
-    beginnings = [x.split("(")[0] for x in re.split(r"\|(?![^(]*\))", BOILERPLATE)]
-    return let(F.lower(text), lambda x: reduce(or_, [x.contains(b) for b in beginnings]))
-
-
 def measures(text: Column) -> Column:
     """All figures of a text as a struct, with the text that stays and the verdict; null counts as empty.
 
@@ -86,25 +84,25 @@ def measures(text: Column) -> Column:
     """
     text = F.coalesce(text, F.lit(""))
 
-    def figures(lines: Column, w: Column) -> Column:
+    def figures(lines: Column, w: Column, has: Column) -> Column:
         spoken = F.transform(F.filter(lines, lambda x: x["n"] > 0), lambda x: x["line"])
         stays = F.array_join(F.transform(F.filter(lines, lambda x: ~x["bad"]), lambda x: x["line"]), "\n")
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             (F.length(text) - F.regexp_count(text, F.lit(f"[{SPACE}]"))).cast("long").alias("word_chars"),
-            occurrences(text, SYMBOLS).alias("n_symbols"),
+            has["symbols"].alias("n_symbols"),
             let(spoken, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
             repeated_words(w).alias("n_repeat_words"),
             F.aggregate(lines, F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["bad"], x["n"]).otherwise(0)).alias("n_lost"),
             F.when(F.exists(lines, lambda x: x["bad"]), stays).otherwise(text).alias("kept_text"),
         )
 
-    def marked(lines: Column, boilerplate: Column) -> Column:
-        return F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.size(x["w"]).alias("n"), line_fails(x["line"], x["w"], boilerplate).alias("bad")))
+    def marked(lines: Column, has: Column) -> Column:
+        return F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.size(x["w"]).alias("n"), line_fails(x["line"], x["w"], has).alias("bad")))
 
     def of(lines: Column) -> Column:
         all_words = F.flatten(F.transform(lines, lambda x: x["w"]))
-        return let(let(may_have_boilerplate(text), lambda m: marked(lines, m)), lambda x: let(all_words, lambda w: figures(x, w)))
+        return let(signs(text), lambda has: let(marked(lines, has), lambda x: let(all_words, lambda w: figures(x, w, has))))
 
     def verdict(f: Column) -> Column:
         base = (f["n_words"] < 50) | (f["n_repeat_words"] * 100 > f["n_words"] * 50)
