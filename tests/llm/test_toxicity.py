@@ -134,6 +134,15 @@ def test_classes_are_learnt_from_company(spark):
     assert model.terms["nixo"][0] == tx.NEGATION and model.terms["quoth"][0] == tx.SPOKEN
 
 
+def test_a_term_that_is_toxic_with_a_target_only_becomes_a_threat(spark):
+    model = tx.Model({"zorgl": (tx.INSULT, 2.0), "vex*": (tx.INSULT, 1.5)} | tx.starting_terms())
+    rows = [(1, ["t+zorgl", "t+vex*"])] * 60 + [(0, ["t-zorgl"])] * 60 + [(1, ["t-vex*"])] * 40 + [(0, ["nword"])] * 90
+    tx._classed(model, spark.createDataFrame(rows, "toxic int, company array<string>"))
+    assert model.terms["zorgl"] == (tx.THREAT, 2.0) and model.terms["vex*"] == (tx.INSULT, 1.5)
+    score = lambda s: tx.Reader(model).clause(s.split())[0]
+    assert score("zorgl pump") == 0 and score("zorgl you") == 2.5 and score("you zorgl") == 2.5
+
+
 def test_clashing_columns_repeated_rows_and_ties(spark, tmp_path):
     rows, labels = corpus(300)
     docs = spark.createDataFrame([*rows, *rows[:50]], "doc_id long, text string, source string").withColumns({c: tx.F.lit("n") for c in ("key", "score", "toxic", "order", "clauses")})
