@@ -168,12 +168,20 @@ def chunks_of_splits(splits: DataFrame, config: ChunkerConfig, *, key: str = "fi
     whole = splits.select(key, F.col("split_offset").alias("s"), (F.col("split_offset") + F.length("content")).alias("e"), F.col("content").cast("binary").alias("c"))
     step = config.max_size
     bins = lambda a, b: F.explode(F.sequence(F.floor(a / step), F.floor((b - 1) / step))).alias("bin")
+    # which splits a chunk touches is found without content; each split then meets its chunks once
     left = bounds.select("*", bins(F.col("offset"), F.col("offset") + F.col("length")))
-    right = whole.where("e > s").select("*", bins(F.col("s"), F.col("e")))
-    touch = left.join(right, [key, "bin"]).where("s < offset + length and offset < e").dropDuplicates([key, "seq", "s"])
-    a, b = F.greatest(F.col("offset"), F.col("s")), F.least(F.col("offset") + F.col("length"), F.col("e"))
-    part = F.substr("c", (a - F.col("s") + 1).cast("int"), (b - a).cast("int"))
-    data = touch.groupBy(key, "seq", "offset", "length").agg(F.sort_array(F.collect_list(F.struct("s", part.alias("part")))).alias("parts"))
+    right = whole.where("e > s").select(key, "s", "e", bins(F.col("s"), F.col("e")))
+    first = F.floor(F.greatest("s", "offset") / step)  # a pair is met in each bin that both touch, and kept in the first
+    touch = left.join(right, [key, "bin"]).where("s < offset + length and offset < e").where(F.col("bin") == first)
+    of_split = touch.groupBy(key, "s").agg(F.collect_list(F.struct("seq", "offset", "length")).alias("chunks"))
+
+    def cut_out(x):
+        a, b = F.greatest(x["offset"], F.col("s")), F.least(x["offset"] + x["length"], F.col("e"))
+        part = F.substr("c", (a - F.col("s") + 1).cast("int"), (b - a).cast("int"))
+        return F.struct(x["seq"].alias("seq"), x["offset"].alias("offset"), x["length"].alias("length"), part.alias("part"))
+
+    touch = whole.join(of_split, [key, "s"]).select(key, "s", F.explode(F.transform("chunks", cut_out)).alias("x")).select(key, "s", "x.*")
+    data = touch.groupBy(key, "seq", "offset", "length").agg(F.sort_array(F.collect_list(F.struct("s", "part"))).alias("parts"))
     whole = data.select(key, "seq", "offset", "length", joined(F.transform("parts", lambda x: x["part"])).alias("data"))
     return whole.select(key, "seq", "offset", "length", truncate(hash_of(F.col("data"), hash_algorithm), config.hash_length).alias("hash"), *["data"] * with_data)
 
