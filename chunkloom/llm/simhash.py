@@ -24,6 +24,8 @@ from .graph import components
 SHARD, LEVELS = 2000, 4
 #: MinHash bands and the minima in each. Two texts that share 0.8 of their shingles agree in no band once in 14,000 times.
 BANDS, ROWS = 24, 5
+#: One more of a text's least shingles is asked for with every so many that it has, and two texts must then share the more of these.
+MORE = 32
 
 # The five primes of XXH64.
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
@@ -193,6 +195,41 @@ def sketch(shingle: int, seed: int = 42):
     return of
 
 
+def _needed(n, similarity: float):
+    """The shingles that a text of n must share with any that is so similar: as many are the least that the larger of two can share."""
+    return (n * round(similarity * 1_000_000) + 999_999) // 1_000_000
+
+
+def least_hashes(shingle: int, similarity: float, seed: int = 42):
+    """A column function: node (the hash of sketch), the least hashes of the different shingles, and how many of these a similar text must have, too.
+
+    If two sets share o, the l-th that they share, in any one order, stands among the first |set| - o + l of both. Here o is at least
+    _needed of either, and l may grow with the smaller of the two, which has _needed(n) or more itself.
+    """
+
+    @F.arrow_udf("struct<node:long,must:int,least:array<long>>")
+    def of(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        kind = pa.struct([("node", pa.int64()), ("must", pa.int32()), ("least", pa.list_(pa.int64()))])
+        parts = []
+        for x in slices(iter([batch]), 0):
+            hashes, edges, full = shingles(*text_bytes(x.column(0)), shingle, seed)
+            node, must, many = np.zeros(x.num_rows, np.int64), np.zeros(x.num_rows, np.int32), np.zeros(x.num_rows, np.int64)
+            if len(full):
+                hashes, edges = different(hashes, edges)
+                n = np.diff(np.append(edges, len(hashes)))
+                node[full] = np.add.reduceat(mix64(hashes), edges).view(np.int64)
+                needed = _needed(n, similarity)
+                must[full] = 1 + needed // MORE
+                many[full] = np.minimum(n, n - needed + 1 + n // MORE)
+                hashes = hashes[ragged(edges, many[full])]
+            least = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(hashes.view(np.int64)))
+            parts.append(pa.StructArray.from_arrays([pa.array(node), pa.array(must), least], ["node", "must", "least"]))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return of
+
+
 def shingle_set(shingle: int, seed: int = 42):
     """A column function: the hashes of the different shingles of a text."""
 
@@ -387,6 +424,87 @@ def _sets(df: DataFrame, nodes: DataFrame, wanted: DataFrame, key: str, text: st
     return Table(found.select("node", shingle_set(shingle, seed)("text").alias("set")), "sets").df
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches, cut only where the first column changes."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy() for c in batch.columns]
+        other = np.flatnonzero(columns[0] != columns[0][-1])
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if held and (cut or held[-1][0][-1] != columns[0][0]):
+            yield [np.concatenate(x) for x in zip(*held, [c[:cut] for c in columns])]
+            held = []
+        elif cut:
+            yield [c[:cut] for c in columns]
+        held.append([c[cut:] for c in columns])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+
+
+def _may_link(df: DataFrame, text: str, shingle: int, similarity: float, seed: int) -> DataFrame:
+    """node: those that may be so similar to any other. The rest share too few of their least shingles with all others together."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, node, must in _whole_groups(batches):
+            once = np.append(True, (hashes[1:] != hashes[:-1]) | (node[1:] != node[:-1]))  # copies of a text count as one
+            hashes, node, must = hashes[once], node[once], must[once]
+            many = np.diff(np.append(_starts(hashes), len(hashes)))
+            met = np.repeat(many > 1, many)
+            yield pa.RecordBatch.from_arrays([pa.array(node[met]), pa.array(must[met])], names=["node", "must"])
+
+    rows = df.select(least_hashes(shingle, similarity, seed)(text).alias("s")).select(F.explode("s.least").alias("hash"), "s.node", "s.must")
+    met = rows.repartition("hash").sortWithinPartitions("hash", "node").mapInArrow(work, "node long, must int")
+    return Table(met.groupBy("node", "must").agg(F.count("*").alias("met")).where("met >= must").select("node"), "alive").df
+
+
+def _left_pairs(sets: DataFrame, roots: DataFrame, similarity: float, at_once: int = 1 << 20) -> DataFrame:
+    """(u, v): the pairs of nodes of different roots that may be so similar, none of those that are left out.
+
+    Only shingles that nodes of different roots have can be shared. Each node's are put in order, the rarest first (others before
+    all). The first that two nodes share stands where so many follow in both, itself included, as they must share; so only
+    nodes that meet there are paired, each with the larger ones (or as large) of its group that its own place allows.
+    """
+    s = round(similarity * 1_000_000)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, node, root, n in _whole_groups(batches):
+            starts = _starts(hashes)
+            many = np.diff(np.append(starts, len(hashes)))
+            on = np.repeat(np.minimum.reduceat(root, starts) < np.maximum.reduceat(root, starts), many)
+            times = np.repeat(many, many)
+            yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (hashes, node, root, n, times)], names=["hash", "node", "root", "n", "times"])
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, n, rest, node, root in _whole_groups(batches):
+            starts = _starts(hashes)
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(hashes)))) << 32
+            largest = np.minimum(n * 1_000_000 // s, rest * (1_000_000 + s) // s - n)
+            after = np.arange(1, len(n) + 1)
+            many = np.maximum(np.searchsorted(group + n, group + np.maximum(largest, 0), "right") - after, 0)
+            asking = np.flatnonzero(many)
+            part = np.cumsum(many[asking]) // at_once
+            for some in np.split(asking, np.flatnonzero(np.diff(part)) + 1):
+                a, b = np.repeat(some, many[some]), ragged(after[some], many[some])
+                ok = (root[a] != root[b]) & (rest[b] * (1_000_000 + s) >= s * (n[a] + n[b]))
+                pairs = np.unique(np.stack([np.maximum(node[a[ok]], node[b[ok]]), np.minimum(node[a[ok]], node[b[ok]])], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    rows = sets.join(roots, "node", "left").select(F.explode("set").alias("hash"), "node", F.coalesce("root", "node").alias("root"), F.size("set").cast("long").alias("n"))
+    rows = rows.repartition("hash").sortWithinPartitions("hash").mapInArrow(shared, "hash long, node long, root long, n long, times long")
+    own = Window.partitionBy("node")
+    rows = rows.withColumns({"many": F.count("*").over(own), "place": F.row_number().over(own.orderBy("times", "hash"))})
+    needed = F.expr(f"(n * {s} + 999999) div 1000000")
+    rows = rows.withColumn("rest", F.col("many") - F.col("place") + 1).where(F.col("rest") >= needed)  # those from the place on
+    rows = rows.select("hash", "n", "rest", "node", "root").repartition("hash").sortWithinPartitions("hash", "n")
+    return Table(rows.mapInArrow(paired, "u long, v long").distinct(), "left").df
+
+
 def _same_shingles(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) of nodes that share so much of their shingles, counted on the shingles themselves."""
     u, v = (sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "uv")
@@ -402,7 +520,8 @@ def _similar(df: DataFrame, rows: DataFrame, key: str, text: str, shingle: int,
     Candidates are the links of SimHash within the radius, and texts that agree in a MinHash band; only what the shingles
     themselves confirm is a link. A band isn't searched pair by pair: its members are held against one of them, those that
     aren't joined to it yet in the next round against another, until a round finds no link. First comes the member that
-    meets most others in all its bands, as the text that copies were made from does.
+    meets most others in all its bands, as the text that copies were made from does. These rounds join most, not all; every pair
+    that is left in two components and may be so similar is held against each other at the end, so no link is lost.
     """
     least = F.min(F.struct("key", "text"))
     nodes = rows.groupBy("node").agg(F.min("key").alias("first"), least.alias("place"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
@@ -417,11 +536,12 @@ def _similar(df: DataFrame, rows: DataFrame, key: str, text: str, shingle: int,
         return pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
     tried = Table(ordered(by_bits.unionByName(equal_bits)), "pairs").df
-    banded = nodes.select("node", "n", F.explode("bands").alias("band"))
+    alive = _may_link(df, text, shingle, similarity, seed)
+    banded = nodes.join(alive, "node", "left_semi").select("node", "n", F.explode("bands").alias("band"))
     several = Table(banded.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "several").df
     banded = Table(banded.join(several, "band"), "bands").df
     banded = banded.join(banded.groupBy("node").agg(F.sum("m").alias("meets")), "node").drop("m")
-    sets = _sets(df, nodes, banded.select("node").unionByName(tried.select(F.explode(F.array("u", "v")).alias("node"))), key, text, shingle, seed)
+    sets = _sets(df, nodes, alive, key, text, shingle, seed)
     roots, turn = components(_same_shingles(tried, sets, similarity)).df, 0
     while True:
         named = Table(banded.join(roots, "node", "left").select("band", "node", "n", "meets", F.coalesce("root", "node").alias("root")), "named")
@@ -441,6 +561,9 @@ def _similar(df: DataFrame, rows: DataFrame, key: str, text: str, shingle: int,
         elif turn > 1:
             break
         tried = tried.unionByName(pairs)
+    new = _same_shingles(_left_pairs(sets, roots, similarity), sets, similarity)
+    if not new.isEmpty():
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new)).df
     linked = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     return linked.join(linked.groupBy("root").agg(F.min("first").alias("component")), "root").select("node", "root", "component")
 

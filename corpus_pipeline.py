@@ -16,7 +16,8 @@ from chunkloom.llm import bpe, lines, mixing, quality, simhash
 from chunkloom.llm.common import Table
 
 #: Shingles have five words. Near copies share SIMILARITY of these; fingerprints within RADIUS are candidates (each goes to RADIUS + 1
-#: shards, and to (RADIUS + 1) ** 2 where shards are large), beside those of MinHash bands, which reach further at a cost that doesn't grow so.
+#: shards, and to (RADIUS + 1) ** 2 where shards are large), beside those of MinHash bands, which reach further at a cost that doesn't grow so; what
+#: both leave is searched exactly.
 SHINGLE, RADIUS, SIMILARITY = 5, 3, 0.8
 
 #: SimHash classes and byte-level BPE can't be expressed in SQL; tests/llm/test_pipeline.py holds run() against a plain Python version.
